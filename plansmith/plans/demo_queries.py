@@ -1,0 +1,23 @@
+"""First end-to-end query: equality filter, stable sort, limit."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def plan_eq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return (
+        part.filter(F.col("p_size").eqNullSafe(F.lit(7)))
+        .orderBy(F.col("p_retailprice").asc_nulls_last(), F.col("p_partkey").asc_nulls_last())
+        .limit(20)
+        .select("p_partkey", "p_name", "p_size", "p_retailprice")
+    )
+
+
+QUERIES = {"plan_eq_topk": plan_eq_topk}
+ORACLE = {
+    "plan_eq_topk": """SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size = 7
+ORDER BY p_retailprice ASC NULLS LAST, p_partkey ASC LIMIT 20""",
+}
