@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from plansmith.llm import line_dedup, secret_scan
+from plansmith.llm import bpe, line_dedup, packing, secret_scan, token_files
 
 QUERIES = {
+    "op2_bpe": bpe.query,
     "op3_line_dedup": line_dedup.query,
+    "op5_token_files": token_files.query,
+    "op6_packing": packing.query,
     "op10_secret_scans": secret_scan.query,
 }
 
