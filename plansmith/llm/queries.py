@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plansmith.llm import bpe, line_dedup, packing, secret_scan, token_files
+from plansmith.llm import bpe, line_dedup, near_dedup, packing, secret_scan, token_files
 
 QUERIES = {
     "op2_bpe": bpe.query,
     "op3_line_dedup": line_dedup.query,
     "op5_token_files": token_files.query,
     "op6_packing": packing.query,
+    "op9_near_dedup": near_dedup.query,
     "op10_secret_scans": secret_scan.query,
 }
 
