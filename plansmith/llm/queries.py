@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plansmith.llm import bpe, line_dedup, near_dedup, packing, secret_scan, token_files
+from plansmith.llm import bpe, line_dedup, near_dedup, packing, quality, secret_scan, token_files
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
     "op2_bpe": bpe.query,
     "op3_line_dedup": line_dedup.query,
     "op5_token_files": token_files.query,
