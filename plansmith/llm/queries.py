@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plansmith.llm import bpe, line_dedup, near_dedup, packing, quality, secret_scan, token_files
+from plansmith.llm import ann, bpe, line_dedup, near_dedup, packing, quality, secret_scan, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op5_token_files": token_files.query,
     "op6_packing": packing.query,
+    "op8_nearest": ann.query,
     "op9_near_dedup": near_dedup.query,
     "op10_secret_scans": secret_scan.query,
 }
