@@ -13,6 +13,8 @@ import heapq
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +23,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansmith.llm.common import table
-from plansmith.llm.tokenizing import CACHED_CHARS, CACHED_CHUNKS, _way, vocabulary_path
+from plansmith.llm.tokenizing import CACHED_CHARS, CACHED_CHUNKS, Chunked, _way, vocabulary_path
 
 LONG = 128
+#: The pattern of the vocabulary file for which the next two stand on visible ASCII and the letters of Latin-1 (whose lower case stays there, and which are composed already).
+LATIN_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"
+LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 NEVER = 1 << 60
 _READY: dict[str, "RankBpe"] = {}
 
 
-def merge_short(s: str, n: int, rank) -> list[str]:
-    """Parts of s, whose first n - 1 symbols are single characters and whose last is the rest."""
+def merge_short(s: str, n: int, rank, two) -> list[str]:
+    """Parts of s, whose first n - 1 symbols are single characters and whose last is the rest. two: ranks of pairs of single characters."""
+    if n < 2:
+        return [s]
     bounds = [*range(n), len(s)]
-    ranks = [rank((s[i], s[i + 1 : bounds[i + 2]]), NEVER) for i in range(n - 1)]
+    ranks = [two(s[i : i + 2], NEVER) for i in range(n - 2)]
+    ranks.append(rank((s[n - 2], s[n - 1 :]), NEVER))
     while ranks:
         least = min(ranks)
         if least == NEVER:
@@ -45,7 +54,7 @@ def merge_short(s: str, n: int, rank) -> list[str]:
     return [s[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def merge_long(s: str, n: int, rank) -> list[str]:
+def merge_long(s: str, n: int, rank, two=None) -> list[str]:
     """The same parts with a heap of (rank, left part) over linked parts."""
     end = [*range(1, n), len(s)]
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -72,8 +81,13 @@ def merge_long(s: str, n: int, rank) -> list[str]:
     return out
 
 
-class RankBpe:
+def _u4(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
+
+class RankBpe(Chunked):
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,7 +95,9 @@ class RankBpe:
         library, model = Tokenizer.from_file(path), spec["model"]
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
-        self.rank = {p: i for i, p in enumerate(pairs)}.get
+        ranks = {p: i for i, p in enumerate(pairs)}
+        self.rank = ranks.get
+        self.two = {a + b: i for (a, b), i in ranks.items() if len(a) == len(b) == 1}.get
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -95,39 +111,41 @@ class RankBpe:
             hidden = [b for b in range(256) if b not in set(shown)]
             self.byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         self.way = _way(spec)
-        self.cache: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> list[int]:
-        n, s = len(word), word + self.suffix
-        parts = (merge_short if n <= LONG else merge_long)(s, n, self.rank)
-        return [self.vocab[p] for p in parts if p in self.vocab]
+        self.words: dict[str, bytes] = {}
+        #: Latin-1 chunks of a lower-casing, splitting vocabulary need no call into the library.
+        self.latin = self.way == "drop" and LATIN_RULE in json.dumps(spec["pre_tokenizer"], ensure_ascii=False) and spec["normalizer"]["normalizers"][-1]["type"] == "Lowercase"
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.bytelike = {c: "".join(hidden.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 256)}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            n, s = len(word), word + self.suffix
+            parts = (merge_short if n <= LONG else merge_long)(s, n, self.rank, self.two)
+            ids = _u4([self.vocab[p] for p in parts if p in self.vocab])
+            if len(self.words) >= CACHED_CHUNKS:
+                self.words.clear()
+            if n <= CACHED_CHARS:
+                self.words[word] = ids
+        return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.cut.split(chunk) if self.cut else [chunk]:
+        ids: list[bytes] = []
+        for piece in self.cut.split(chunk) if self.cut and any(t in chunk for t in self.special) else [chunk]:
             if piece in self.special:
-                ids.append(self.special[piece])
+                ids.append(_u4([self.special[piece]]))
+            elif self.latin and LATIN.fullmatch(piece):
+                for word in LATIN_WORDS.findall(piece.lower()):
+                    ids.append(self._word(word if word.isascii() else word.translate(self.bytelike)))
             elif piece:
                 text = self.normalizer.normalize_str(piece) if self.normalizer else piece
                 for word, _ in self.pre_tokenizer.pre_tokenize_str(text):
-                    ids += self._word(word)
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """ids as little-endian uint32 bytes."""
-        if self.way != "drop":
-            return self._chunk(text)
-        cache, out = self.cache, []
-        for c in text.replace("\n", " ").replace("\t", " ").split(" "):
-            ids = cache.get(c)
-            if ids is None:
-                ids = self._chunk(c)
-                if len(cache) >= CACHED_CHUNKS:
-                    cache.clear()
-                if len(c) <= CACHED_CHARS:
-                    cache[c] = ids
-            out.append(ids)
-        return b"".join(out)
+                    ids.append(self._word(word))
+        return b"".join(ids)
+
+    def fresh(self, chunks: list[str]) -> list[bytes]:
+        return [self._chunk(c) for c in chunks]
 
     def decode(self, ids: bytes) -> str:
         """As the library: without a decoder, tokens joined by spaces; a byte-level one gives the bytes back. Special tokens stay."""
@@ -159,8 +177,7 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 n, left, right = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = bpe.encode(text or "")
+                for ids in bpe.many(part.column(1).to_pylist()):
                     decoded = bpe.decode(ids)
                     n.append(len(ids) // 4)
                     left.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<u4").astype("i4"))

@@ -128,8 +128,8 @@ def pack(
 
         for b in batches:
             full: list[list[tuple]] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                full += packer.add(doc, encode.ids(text.as_py() or "") + tail)
+            for doc, ids in zip(b.column(0).to_pylist(), encode.many(x.as_py() for x in b.column(1)), strict=True):
+                full += packer.add(doc, ids + tail)
                 if len(full) > 512:
                     yield batch(full, [])
                     full = []

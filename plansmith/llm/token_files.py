@@ -173,17 +173,15 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, id_col: str = "doc_i
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(vocabulary).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
-    tail = [] if end_id is None else [end_id]
+    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, shard, encode = TaskContext.get().partitionId(), None, encoder(vocabulary)
-        name = f"shard-{number:07d}.tok"
+        number, encode = TaskContext.get().partitionId(), encoder(vocabulary)
+        name, shard = f"shard-{number:07d}.tok", None
         for b in batches:
-            keys = b.column(0)
-            for at in range(b.num_rows):
-                shard = shard or ShardWriter(f"{path}/{name}", width)
-                ids = np.frombuffer(encode.ids(b.column(1)[at].as_py() or ""), "<u4")
-                shard.add(keys[at].as_py(), np.concatenate([ids, np.array(tail, "<u4")]))
+            shard = shard or ShardWriter(f"{path}/{name}", width)
+            for key, ids in zip(b.column(0).to_pylist(), encode.many(x.as_py() for x in b.column(1)), strict=True):
+                shard.add(key, np.frombuffer(ids + tail, "<u4"))
         if shard:
             shard.close()
             ends = [k for k in shard.keys if k is not None]

@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
-import numpy as np
-
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 800_000
 CACHED_CHARS = 64
+#: Characters of the texts whose new chunks are encoded together.
+TOGETHER = 1 << 20
 _READY: dict[str, "ChunkEncoder"] = {}
 
 #: White space other than these four makes a text with leading-space chunks go to the library whole.
@@ -27,15 +29,64 @@ def _way(spec: dict) -> str:
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec.get("normalizer") is None:
         return "lead"
     steps = pre.get("pretokenizers", [])
-    if '"\\\\s+"' in norm and steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert"):
+    if '"Lowercase"' in norm and '"\\\\s+"' in norm and steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert"):
         return "drop"
     return "whole"
 
 
-class ChunkEncoder:
-    """ids(text) equals encode(text, add_special_tokens=False).ids without truncation or padding, as little-endian uint32 bytes."""
+class Chunked:
+    """ids of texts from a cache of chunks. Subclasses set way and define fresh(chunks)."""
+
+    way = "whole"
+
+    def __init__(self) -> None:
+        self.cache: dict[str, bytes] = {}
+
+    def fresh(self, chunks: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def _cut(self, text: str) -> list[str]:
+        if self.way == "drop":
+            return text.replace("\n", " ").replace("\t", " ").split(" ")
+        if self.way == "lead" and not _ODD_SPACE.search(text):
+            return _LEAD.findall(text)
+        return [text]
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """ids of each text (null: empty) as little-endian uint32 bytes; new chunks of some texts at a time are encoded together."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(self._cut(text or ""))
+            size += len(text or "") + 256
+            if size > TOGETHER:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, texts: list[list[str]]) -> Iterator[bytes]:
+        cache = self.cache
+        found = [list(map(cache.get, chunks)) for chunks in texts]
+        gaps = [[i for i, x in enumerate(parts) if x is None] if None in parts else [] for parts in found]
+        new = list({chunks[i] for chunks, at in zip(texts, gaps, strict=True) for i in at})
+        got = dict(zip(new, self.fresh(new), strict=True))
+        for chunks, parts, at in zip(texts, found, gaps, strict=True):
+            for i in at:
+                parts[i] = got[chunks[i]]
+            yield b"".join(parts)
+        if len(cache) + len(got) > CACHED_CHUNKS:
+            cache.clear()
+        cache.update((c, x) for c, x in got.items() if len(c) <= CACHED_CHARS)
+
+    def ids(self, text: str | None) -> bytes:
+        return next(self.many([text]))
+
+
+class ChunkEncoder(Chunked):
+    """ids(text) equals encode(text, add_special_tokens=False).ids without truncation or padding."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,29 +94,34 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[str, bytes] = {}
-
-    def _fresh(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        if self.way == "drop":
-            chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
-        elif self.way == "lead" and not _ODD_SPACE.search(text):
-            chunks = _LEAD.findall(text)
-        else:
-            return self._fresh([text])[0]
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            new = [c for c in set(chunks) if c not in cache]
-            got = dict(zip(new, self._fresh(new), strict=True))
-            out = b"".join([cache[c] if c in cache else got[c] for c in chunks])
-            if len(cache) + len(got) > CACHED_CHUNKS:
-                cache.clear()
-            cache.update((c, x) for c, x in got.items() if len(c) <= CACHED_CHARS)
-            return out
+        self.words: dict[str, bytes] = {}
+
+    def _encoded(self, chunks: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(chunks), 256):
+            for x in self.library.encode_batch_fast(chunks[at : at + 256], add_special_tokens=False):
+                yield array("I", x.ids).tobytes()
+
+    def fresh(self, chunks: list[str]) -> list[bytes]:
+        """A tail of punctuation behind a letter or digit is a token run of its own; where case is dropped, ASCII words are lower-cased first."""
+        if self.way == "whole":
+            return list(self._encoded(chunks))
+        parts, fold = [], self.way == "drop"
+        for c in chunks:
+            head = c.rstrip(",.!|")
+            if len(head) == len(c) or not head or not head[-1].isalnum() or head[-1] > "\u024f":
+                head = c
+            parts.append((head.lower() if fold and head.isascii() and "<|" not in head else head, c[len(head) :]))
+        words = self.words
+        new = [w for w in {x for p in parts for x in p} if w not in words]
+        if len(words) + len(new) > CACHED_CHUNKS:
+            words.clear()
+            new = list({x for p in parts for x in p})
+        words.update(zip(new, self._encoded(new), strict=True))
+        out = [words[a] + words[b] for a, b in parts]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del words[w]
+        return out
 
 
 def encoder(path: str) -> ChunkEncoder:
