@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansmith.llm.common import table
-from plansmith.llm.tokenizing import CACHED_CHARS, CACHED_CHUNKS, Chunked, _way, vocabulary_path
+from plansmith.llm.tokenizing import _HIDDEN, _SHOWN, BYTES, CACHED_CHARS, CACHED_CHUNKS, LATIN, Chunked, _way, vocabulary_path
 
 LONG = 128
-#: The pattern of the vocabulary file for which the next two stand on visible ASCII and the letters of Latin-1 (whose lower case stays there, and which are composed already).
+#: The pattern of the vocabulary file for which the next one stands, on LATIN in lower case.
 LATIN_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"
-LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 NEVER = 1 << 60
 _READY: dict[str, "RankBpe"] = {}
@@ -107,16 +106,11 @@ class RankBpe(Chunked):
             self.tokens[i] = t
         self.bytewise = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         if self.bytewise:
-            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            hidden = [b for b in range(256) if b not in set(shown)]
-            self.byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+            self.byte = {chr(b): b for b in _SHOWN} | {c: b for b, c in _HIDDEN.items()}
         self.way = _way(spec)
         self.words: dict[str, bytes] = {}
         #: Latin-1 chunks of a lower-casing, splitting vocabulary need no call into the library.
         self.latin = self.way == "drop" and LATIN_RULE in json.dumps(spec["pre_tokenizer"], ensure_ascii=False) and spec["normalizer"]["normalizers"][-1]["type"] == "Lowercase"
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        self.bytelike = {c: "".join(hidden.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 256)}
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
@@ -137,7 +131,7 @@ class RankBpe(Chunked):
                 ids.append(_u4([self.special[piece]]))
             elif self.latin and LATIN.fullmatch(piece):
                 for word in LATIN_WORDS.findall(piece.lower()):
-                    ids.append(self._word(word if word.isascii() else word.translate(self.bytelike)))
+                    ids.append(self._word(word if word.isascii() else word.translate(BYTES)))
             elif piece:
                 text = self.normalizer.normalize_str(piece) if self.normalizer else piece
                 for word, _ in self.pre_tokenizer.pre_tokenize_str(text):
@@ -145,7 +139,7 @@ class RankBpe(Chunked):
         return b"".join(ids)
 
     def fresh(self, chunks: list[str]) -> list[bytes]:
-        return [self._chunk(c) for c in chunks]
+        return [self._chunk(self.spelled(c)) for c in chunks]
 
     def decode(self, ids: bytes) -> str:
         """As the library: without a decoder, tokens joined by spaces; a byte-level one gives the bytes back. Special tokens stay."""

@@ -18,9 +18,17 @@ CACHED_CHARS = 64
 TOGETHER = 1 << 20
 _READY: dict[str, "ChunkEncoder"] = {}
 
-#: White space other than these four makes a text with leading-space chunks go to the library whole.
-_ODD_SPACE = re.compile(r"[^\S \n\t\r]")
-_LEAD = re.compile(r"\s*\S+|\s+")
+#: White space other than space, line feed, tab and carriage return: a text with leading-space chunks that holds any goes to the library whole.
+_ODD_SPACES = [chr(c) for c in (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_LEAD = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+
+
+#: Visible ASCII and the letters of Latin-1: composed already, and their lower case stays among them.
+LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Byte-level spelling of the first 256 characters.
+BYTES = {c: "".join(_HIDDEN.get(b, chr(b)) for b in chr(c).encode()) for c in range(256)}
 
 
 def _way(spec: dict) -> str:
@@ -34,8 +42,16 @@ def _way(spec: dict) -> str:
     return "whole"
 
 
+def _odd(text: str) -> bool:
+    return any(c in text for c in (_ODD_SPACES[:6] if text.isascii() else _ODD_SPACES))
+
+
 class Chunked:
-    """ids of texts from a cache of chunks. Subclasses set way and define fresh(chunks)."""
+    """ids of texts from a cache of chunks. Subclasses set way and define fresh(chunks).
+
+    Where spaces lead, a chunk is named without its space, and one that has none with a space: most names are then the
+    parts that str.split() gives.
+    """
 
     way = "whole"
 
@@ -45,11 +61,20 @@ class Chunked:
     def fresh(self, chunks: list[str]) -> list[bytes]:
         raise NotImplementedError
 
+    def spelled(self, name: str) -> str:
+        return name if self.way != "lead" else name[1:] if name[:1] == " " else " " + name
+
     def _cut(self, text: str) -> list[str]:
         if self.way == "drop":
             return text.replace("\n", " ").replace("\t", " ").split(" ")
-        if self.way == "lead" and not _ODD_SPACE.search(text):
-            return _LEAD.findall(text)
+        if self.way == "lead":
+            if _odd(text):
+                return [" " + text]
+            if any(pair in text for pair in ("  ", "\n ", "\t ", "\r ")):
+                return [c[1:] if c[0] == " " and c[1:2] != " " else " " + c for c in _LEAD.findall(text)]
+            chunks = text.split(" ")
+            chunks[0] = " " + chunks[0]
+            return chunks if len(chunks[0]) > 1 else chunks[1:]
         return [text]
 
     def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -94,34 +119,51 @@ class ChunkEncoder(Chunked):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+" if self.way == "drop" else " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+" if self.way == "lead" else "(?!)")
         self.words: dict[str, bytes] = {}
 
-    def _encoded(self, chunks: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(chunks), 256):
-            for x in self.library.encode_batch_fast(chunks[at : at + 256], add_special_tokens=False):
-                yield array("I", x.ids).tobytes()
+    def _one(self, word: str) -> bytes:
+        """A run of letters is one token run: the library's model takes it without normaliser and pattern."""
+        if self.letters.fullmatch(word):
+            return array("I", [t.id for t in self.model.tokenize(word.translate(BYTES))]).tobytes()
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
 
     def fresh(self, chunks: list[str]) -> list[bytes]:
-        """A tail of punctuation behind a letter or digit is a token run of its own; where case is dropped, ASCII words are lower-cased first."""
+        """A tail of punctuation behind a letter or digit is a token run of its own; where case is dropped, Latin words may be lower-cased first."""
         if self.way == "whole":
-            return list(self._encoded(chunks))
-        parts, fold = [], self.way == "drop"
-        for c in chunks:
-            head = c.rstrip(",.!|")
-            if len(head) == len(c) or not head or not head[-1].isalnum() or head[-1] > "\u024f":
-                head = c
-            parts.append((head.lower() if fold and head.isascii() and "<|" not in head else head, c[len(head) :]))
+            return [self._one(c) for c in chunks]
+        out = []
+        if len(self.words) > CACHED_CHUNKS:
+            self.words.clear()
+        if self.way == "lead":
+            for c in chunks:
+                c = self.spelled(c)
+                parts = [c] if c.isprintable() or _odd(c) else _LEAD.findall(c)
+                out.append(b"".join([self._word(p, False) for p in parts]))
+            return out
+        return [self._word(c, True) for c in chunks]
+
+    def _word(self, c: str, fold: bool) -> bytes:
         words = self.words
-        new = [w for w in {x for p in parts for x in p} if w not in words]
-        if len(words) + len(new) > CACHED_CHUNKS:
-            words.clear()
-            new = list({x for p in parts for x in p})
-        words.update(zip(new, self._encoded(new), strict=True))
-        out = [words[a] + words[b] for a, b in parts]
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del words[w]
-        return out
+        if c in words:
+            return words[c]
+        head = c.rstrip(",.!|")
+        if len(head) == len(c) or not head or not head[-1].isalnum() or head[-1] > "\u024f":
+            head = c
+        tail = c[len(head) :]
+        if fold and LATIN.fullmatch(head) and "<|" not in head:
+            head = head.lower()
+        ids = words.get(head)
+        if ids is None:
+            ids = self._one(head)
+            if len(head) <= CACHED_CHARS:
+                words[head] = ids
+        if tail:
+            if tail not in words:
+                words[tail] = self._one(tail)
+            ids += words[tail]
+        return ids
 
 
 def encoder(path: str) -> ChunkEncoder:
