@@ -2,9 +2,10 @@
 
 Equal shingle sets form a class first, so exact copies cost one row. Classes meet in the buckets of a banded MinHash
 index; the MinHash samples are also folded into a parity bitmap whose XOR population count estimates high
-similarities well, and drops most false candidates before their texts are compared in full. In a bucket every
-class is compared with the bucket's representative only; pairs of different components that still share a bucket
-are compared afterwards, so no link is lost and no bucket emits all its pairs.
+similarities well, and drops most false candidates. A second parity bitmap, of the whole set, bounds the number of
+shingles in which two sets differ from below and drops nearly all the others before texts are compared in full. In
+a bucket every class is compared with the bucket's representative only; pairs of different components that still
+share a bucket are compared afterwards, each in one bucket, so no link is lost and no bucket emits all its pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from plansmith.llm.components import components
 from plansmith.llm.shingles import mix64, shingle_set
 
 SALTS = 16
+#: Members of a bucket that one task compares with those outside the largest component.
+PART = 1024
 #: Up to so many ids (8 bytes each) are broadcast to fetch texts; more meet by shuffle.
 BROADCAST_IDS = 100_000
 
@@ -38,10 +41,11 @@ class Settings:
     rows: int = 5
     samples: int = 128
     bits: int = 512
-    floor: float = 0.6
+    floor: float = 0.65
+    parity_bits: int = 1024
 
     def far(self) -> int:
-        """The sketch distance at similarity floor, which lies 8 standard deviations below the links."""
+        """The sketch distance at similarity floor, which lies 6 standard deviations below the links."""
         flips = 2 * self.samples * (1 - self.floor)
         return math.ceil(self.bits / 2 * (1 - math.exp(-2 * flips / self.bits)))
 
@@ -82,7 +86,23 @@ def signature(hashes: np.ndarray) -> bytes:
         return np.array([mix64(hashes).sum(dtype=np.uint64), mix64(hashes * np.uint64(3) + np.uint64(len(hashes))).sum(dtype=np.uint64)], "<u8").tobytes()
 
 
-FEATURES = "id bigint, n bigint, node binary, keys array<bigint>, sketch array<bigint>"
+def level(n: int, bits: int) -> int:
+    """Sets of n shingles are thinned to those whose hash ends in so many zeros: bits / 2 to bits of them."""
+    return max(0, int(math.log2(n / (bits / 2))))
+
+
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmaps of the set thinned at its level and at the next, one after the other, as int64 words."""
+    out, spread = [], mix64(hashes ^ np.uint64(0xA24BAED4963EE407))
+    for step in range(2):
+        if l := level(len(hashes), bits) + step:
+            spread = spread[spread & np.uint64((1 << l) - 1) == 0]
+        odd = np.bincount((spread >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return np.concatenate(out)
+
+
+FEATURES = "id bigint, n bigint, node binary, keys array<bigint>, sketch array<bigint>, level int, parity array<bigint>"
 
 
 def features(df: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
@@ -90,18 +110,19 @@ def features(df: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                n, node, keys, sketch = [], [], [], []
+                n, node, keys, sketch, levels, parity = [], [], [], [], [], []
                 for text in part.column(1):
                     found = shingle_set(text.as_py(), s.words)
                     n.append(len(found))
                     if not len(found):
-                        node.append(None), keys.append(None), sketch.append(None)
+                        node.append(None), keys.append(None), sketch.append(None), levels.append(None), parity.append(None)
                         continue
                     m = minhashes(found, s.samples)
                     node.append(signature(found)), keys.append(band_keys(m, s.bands, s.rows)), sketch.append(odd_sketch(m, s.bits))
+                    levels.append(level(len(found), s.parity_bits)), parity.append(parities(found, s.parity_bits))
                 longs = pa.list_(pa.int64())
-                arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, longs), pa.array(sketch, longs)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "node", "keys", "sketch"])
+                arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, longs), pa.array(sketch, longs), pa.array(levels, pa.int32()), pa.array(parity, longs)]
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in FEATURES.split(", ")])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
     return rows.mapInArrow(run, FEATURES)
@@ -113,9 +134,21 @@ def _distance(s: Settings, a: Column, b: Column) -> Column:
 
 
 def _likely(s: Settings, x: str, y: str) -> Column:
-    """Sizes and sketches allow a link."""
+    """Sizes, sketches and parities allow a link.
+
+    Parities differ in at most as many bits as the sets in shingles: without thinning nothing is lost, with it the
+    bound has 6 standard deviations to spare.
+    """
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    return (small * 100 >= large * s.percent) & (_distance(s, F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= s.far())
+    most = (small + large) * ((100 - s.percent) / (100 + s.percent))
+    l = F.greatest(f"{x}.level", f"{y}.level")
+    words = s.parity_bits // 64
+    word = lambda side, i: F.get(F.col(f"{side}.parity"), (l - F.col(f"{side}.level")) * words + i)
+    bits = [F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(words)]
+    thinned = most / F.pow(F.lit(2.0), l)
+    bound = F.when(l == 0, most + 1e-6).otherwise(thinned + 6 * F.sqrt(thinned) + 3)
+    near = _distance(s, F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= s.far()
+    return (small * 100 >= large * s.percent) & near & (sum(bits[1:], bits[0]) <= bound)
 
 
 def confirmed(df: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
@@ -171,7 +204,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     s = settings
     rows = stored(features(df, id_col, text_col, s), "features")
     classes = stored(
-        rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes"
+        rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("level").alias("level"), F.first("parity").alias("parity")), "classes"
     )
     members = classes.select(F.explode("keys").alias("key"), "node", F.xxhash64("node").alias("rank"))
     shared = (
@@ -179,11 +212,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         .select("key", F.col("head.node").alias("head"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     grouped = stored(members.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int")).join(shared, ["key", "salt"]).select("key", "node", "head"), "buckets")
-    facts = classes.select("node", "n", "sketch")
+    facts = classes.select("node", "n", "sketch", "level", "parity")
     stars = (
         grouped.filter("node != head").select("node", "head").distinct()
-        .join(facts, "node").select(F.struct("node", "n", "sketch").alias("x"), F.col("head").alias("node"))
-        .join(facts, "node").select("x", F.struct("node", "n", "sketch").alias("y"))
+        .join(facts, "node").select(F.struct(*facts.columns).alias("x"), F.col("head").alias("node"))
+        .join(facts, "node").select("x", F.struct(*facts.columns).alias("y"))
     )
     tried = stored(stars.filter(_likely(s, "x", "y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), "stars")
     links = confirmed(df, tried, classes, id_col, text_col, s)
@@ -192,15 +225,17 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     placed = grouped.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("c"))
     mixed = (
         placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
-        .agg(F.max(F.struct("m", "c"))["c"].alias("major"), F.count("*").alias("many")).filter("many > 1").select("key", "major")
+        .agg(F.max(F.struct("m", "c"))["c"].alias("major"), F.count("*").alias("many"), F.ceil(F.sum("m") / PART).cast("int").alias("parts"))
+        .filter("many > 1").drop("many")
     )
-    open_ = stored(placed.join(mixed, "key").join(facts, "node").select("key", "major", "c", "node", "n", "sketch"), "mixed")
-    minor = open_.filter("c != major").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    other = open_.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    open_ = stored(placed.join(mixed, "key").join(facts.join(classes.select("node", "keys"), "node"), "node"), "mixed")
+    minor = open_.filter("c != major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = open_.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     x, y = minor.alias("x"), other.alias("y")
     once = (F.col("y.c") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
-    equal = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt"))
-    crossing = x.join(y, equal & (F.col("x.c") != F.col("y.c")) & once & _likely(s, "x", "y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    equal = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+    lead = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    crossing = x.join(y, equal & (F.col("x.c") != F.col("y.c")) & once & _likely(s, "x", "y") & lead).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
     done = tried.unionByName(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
     rest = stored(crossing.distinct().join(done, ["u", "v"], "left_anti"), "crossing")
     if rest.limit(1).count():
