@@ -12,7 +12,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 1_000_000
 CACHED_CHARS = 64
 #: Characters of the texts whose new chunks are encoded together.
 TOGETHER = 1 << 20
@@ -25,6 +25,7 @@ _LEAD = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 
 #: Visible ASCII and the letters of Latin-1: composed already, and their lower case stays among them.
 LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+LATIN_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _HIDDEN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Byte-level spelling of the first 256 characters.
@@ -120,51 +121,58 @@ class ChunkEncoder(Chunked):
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+" if self.way == "drop" else " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+" if self.way == "lead" else "(?!)")
-        self.words: dict[str, bytes] = {}
-
-    def _one(self, word: str) -> bytes:
-        """A run of letters is one token run: the library's model takes it without normaliser and pattern."""
-        if self.letters.fullmatch(word):
-            return array("I", [t.id for t in self.model.tokenize(word.translate(BYTES))]).tobytes()
-        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
+        self.tails: dict[str, bytes] = {}
 
     def fresh(self, chunks: list[str]) -> list[bytes]:
-        """A tail of punctuation behind a letter or digit is a token run of its own; where case is dropped, Latin words may be lower-cased first."""
+        """A tail of punctuation behind a letter or digit is a token run of its own."""
         if self.way == "whole":
-            return [self._one(c) for c in chunks]
-        out = []
-        if len(self.words) > CACHED_CHUNKS:
-            self.words.clear()
-        if self.way == "lead":
-            for c in chunks:
-                c = self.spelled(c)
-                parts = [c] if c.isprintable() or _odd(c) else _LEAD.findall(c)
-                out.append(b"".join([self._word(p, False) for p in parts]))
-            return out
-        return [self._word(c, True) for c in chunks]
-
-    def _word(self, c: str, fold: bool) -> bytes:
-        words = self.words
-        if c in words:
-            return words[c]
-        head = c.rstrip(",.!|")
-        if len(head) == len(c) or not head or not head[-1].isalnum() or head[-1] > "\u024f":
-            head = c
-        tail = c[len(head) :]
-        if fold and LATIN.fullmatch(head) and "<|" not in head:
-            head = head.lower()
-        ids = words.get(head)
+            return [self._library(c) for c in chunks]
+        return [self._split(c) for c in chunks]
+
+    def _split(self, name: str) -> bytes:
+        head = name.rstrip(",.!|")
+        if len(head) != len(name) and head and head[-1].isalnum() and head[-1] < "\u0250":
+            tail = name[len(head) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._library(tail)
+            return self._known(head) + self.tails[tail]
+        return self._known(name)
+
+    def _known(self, name: str) -> bytes:
+        ids = self.cache.get(name)
         if ids is None:
-            ids = self._one(head)
-            if len(head) <= CACHED_CHARS:
-                words[head] = ids
-        if tail:
-            if tail not in words:
-                words[tail] = self._one(tail)
-            ids += words[tail]
+            ids = (self._lead if self.way == "lead" else self._drop)(name)
+            if len(name) <= CACHED_CHARS:
+                self.cache[name] = ids
         return ids
 
+    def _library(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+    def _letters(self, spelling: str) -> bytes:
+        """A run of letters is one token run: the library's model takes it without normaliser and pattern."""
+        return array("I", [t.id for t in self.model.tokenize(spelling)]).tobytes()
+
+    def _drop(self, name: str) -> bytes:
+        if name.isascii() and name.isalpha() or LATIN_LETTERS.fullmatch(name):
+            low = name.lower()
+            return self._known(low) if low != name else self._letters(name if name.isascii() else name.translate(BYTES))
+        return self._library(name)
+
+    def _lead(self, name: str) -> bytes:
+        if name.isascii() and name.isalpha():
+            return self._letters(BYTES[32] + name)
+        text = self.spelled(name)
+        if LATIN_LETTERS.fullmatch(text, 1 if text[:1] == " " else 0):
+            return self._letters(text.translate(BYTES))
+        if "\n" in text and not _odd(text):
+            parts = _LEAD.findall(text)
+            if len(parts) > 1:
+                return b"".join([self._split(p[1:] if p[0] == " " and p[1:2] != " " else " " + p) for p in parts])
+            if text[1:2].isalnum():  # one line feed, which no token of letters or digits takes in
+                return self._known(" \n") + self._split(" " + text[1:])
+        return self._library(text)
+
 
 def encoder(path: str) -> ChunkEncoder:
     if path not in _READY:

@@ -15,7 +15,7 @@ from plansmith.llm.tokenizing import ChunkEncoder, vocabulary_path
 WORD, BYTE = vocabulary_path("word_bpe_49k.json"), vocabulary_path("byte_bpe_50k.json")
 ODD = [
     None, "", " ", "\n\n", "a", "A  b\t\tc \n d", "x" * 700, "ab" * 400, "Don't we'll I'M 'S", "İstanbul ΣΑΣ ὈΔΥΣΣΕΎΣ ß", "é ́ é",
-    "<|endoftext|> a<|endoftext|>b  <|endoftext|>", "a b　c\u0085d\x1ce", "12345 6.7 ½ ٣", "😀👩‍👩‍👧 ﻿ ​", "a\r\nb \r c", "   lead and trail   ", "\x00\x01", "foo'. bar's. A, x|| a.b. <|ENDOFTEXT|>. <|endoftext|>.",
+    "<|endoftext|> a<|endoftext|>b  <|endoftext|>", "a b　c\u0085d\x1ce", "12345 6.7 ½ ٣", "😀👩‍👩‍👧 ﻿ ​", "a\r\nb \r c", "   lead and trail   ", "\x00\x01", "line\nFeed. é\nÉcole,\n\nTwo\n 3\n4 a\n!b x\n", "foo'. bar's. A, x|| a.b. <|ENDOFTEXT|>. <|endoftext|>.",
 ]
 
 
