@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +23,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def with_position(df: DataFrame, name: str = "_pos") -> DataFrame:
     """df in its present order with a stable ordinal: partition number and row number in it, without a shuffle or a single task."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of spark, once a context: they may not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plansmith_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._plansmith_shipped = True
