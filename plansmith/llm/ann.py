@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plansmith.llm.common import stored, table
+from plansmith.session import ship
 
 #: Rows of a bucket that one task takes.
 BUCKET = 4096
@@ -101,6 +102,7 @@ def nearest(
     with its nearest. No candidates or no queries: empty result. df and queries may have any other columns.
     """
     s, spark = settings, df.sparkSession
+    ship(spark)
     kind = "bigint"
     read = lambda x: x.select(F.col(f"`{id_col}`").cast(kind).alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows, asked = read(df), read(queries).distinct()

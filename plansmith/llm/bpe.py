@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from plansmith.llm.common import table
 from plansmith.llm.tokenizing import _HIDDEN, _SHOWN, BYTES, CACHED_CHARS, CACHED_CHUNKS, LATIN, Chunked, _way, vocabulary_path
+from plansmith.session import ship
 
 LONG = 128
 #: The pattern of the vocabulary file for which the next one stands, on LATIN in lower case.
@@ -162,6 +163,7 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     input gives an empty result. One map over the rows, no shuffle. Only id_col and text_col are read, so other
     columns can't clash.
     """
+    ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 

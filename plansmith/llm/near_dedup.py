@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from plansmith.llm.common import stored, table
 from plansmith.llm.components import components
 from plansmith.llm.shingles import mix64, shingle_set
+from plansmith.session import ship
 
 SALTS = 16
 #: Members of a bucket that one task compares with those outside the largest component.
@@ -106,6 +107,8 @@ FEATURES = "id bigint, n bigint, node binary, keys array<bigint>, sketch array<b
 
 
 def features(df: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from plansmith.llm.common import stored, table
 from plansmith.llm.tokenizing import encoder, vocabulary_path
+from plansmith.session import ship
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 COLUMNS = [x.split()[0] for x in PIECE.split(", ")]
@@ -110,6 +111,7 @@ def pack(
     """
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     names = [*COLUMNS, "ids", "part"]
+    ship(df.sparkSession)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, encode, serial = TaskContext.get().partitionId(), Packer(size, windows, waste), encoder(vocabulary), 0

@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from plansmith.llm.common import fresh_path, stored, table
-from plansmith.llm.shingles import mix64, windows, word_hashes
+from plansmith.llm.shingles import mix64, windows
 from plansmith.llm.token_files import _filesystem
+from plansmith.session import ship
 
 BEGIN, END = "\x02", "\x03"
 ORDER = 5
@@ -30,7 +32,10 @@ ORDER = 5
 SHARD = 1_000_000
 #: Bytes of shards that a worker keeps.
 HELD = 192 << 20
-CACHED_WORDS = 300_000
+#: Words, and bytes of words, that a worker remembers with their scores.
+CACHED_WORDS, CACHED_BYTES = 800_000, 96 << 20
+#: Characters of texts whose new words are scored together.
+TOGETHER = 2 << 20
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
 
@@ -56,6 +61,7 @@ class Rules:
 
 def _counted(df: DataFrame) -> DataFrame:
     """(lang, gram, n): a row for each n-gram and task, or several; n counts the documents' distinct words."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
@@ -77,7 +83,7 @@ def _counted(df: DataFrame) -> DataFrame:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words[lang].update(set((text.as_py() or "").encode().split()))
-            if sum(map(len, words.values())) > 400_000:
+            if sum(map(len, words.values())) > 800_000:
                 yield from flush()
         yield from flush()
 
@@ -136,15 +142,21 @@ def _codes(s: str) -> np.ndarray:
 _P = [pow(0x9E3779B97F4A7C15, j, 2**64) for j in range(ORDER + 1)]
 
 
-def _hash(poly: np.ndarray, k: int) -> np.ndarray:
+def _hash(poly: np.ndarray, k: int | np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(poly + np.uint64(k * 0xD6E8FEB86659FD93 % 2**64))
+        return mix64(poly + np.asarray(k).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def gram_hash(gram: str) -> int:
+def gram_hashes(grams: list[str]) -> np.ndarray:
+    """Codes times powers, the last symbol's being 0, and the length."""
+    lengths = np.fromiter(map(len, grams), np.int64, len(grams))
+    codes, ends = _codes("".join(grams)), np.cumsum(lengths)
+    poly = np.zeros(len(grams), np.uint64)
     with np.errstate(over="ignore"):
-        codes = _codes(gram)[::-1]
-        return int(_hash(np.array([sum((int(c) * _P[j] for j, c in enumerate(codes)), 0) % 2**64], np.uint64), len(gram))[0])
+        for j in range(int(lengths.max(initial=0))):
+            ok = np.flatnonzero(lengths > j)
+            poly[ok] += codes[ends[ok] - 1 - j] * np.uint64(_P[j])
+    return _hash(poly, lengths)
 
 
 def _folder(lang: str) -> str:
@@ -159,7 +171,7 @@ def store_model(model: DataFrame, path: str) -> None:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.array([gram_hash(g) for g in b.column(1).to_pylist()], np.uint64)
+            h = gram_hashes(b.column(1).to_pylist())
             shard = (h >> np.uint64(44)).astype(np.int64) * shards >> 20
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard, pa.int64()), pa.array(h.view(np.int64)), b.column(2), b.column(3)], ["lang", "shard", "h", "alpha", "gamma"])
 
@@ -213,7 +225,6 @@ class Model:
             self.shards = int(f.read())
         self.held: OrderedDict[tuple, tuple | None] = OrderedDict()
         self.bytes = 0
-        self.bits: dict[str, dict[bytes, float]] = defaultdict(dict)
 
     def _shard(self, lang: str, n: int) -> tuple | None:
         key = lang, n
@@ -249,7 +260,7 @@ class Model:
         texts = [BEGIN + w.decode() + END for w in words]
         codes, lengths = _codes("".join(texts)), np.array([len(t) for t in texts])
         place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        none = np.array([gram_hash("")], np.uint64)
+        none = gram_hashes([""])
         (unseen,), (rest,) = self.look(lang, none)
         p = np.full(len(codes), (unseen or 2.0**-16) * rest)
         before = None
@@ -268,23 +279,53 @@ class Model:
         bits = np.where(place > 0, -np.log2(np.maximum(p, 2.0**-60)), 0.0)
         return np.add.reduceat(bits, np.cumsum(lengths) - lengths)
 
-    def text_bits(self, lang: str, words: list[bytes]) -> float:
-        known = self.bits[lang]
-        try:
-            return float(np.fromiter(map(known.__getitem__, words), float, len(words)).sum())
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        got = dict(zip(new, self.word_bits(lang, new).tolist(), strict=True))
-        total = float(np.fromiter((known[w] if w in known else got[w] for w in words), float, len(words)).sum())
-        if sum(map(len, self.bits.values())) > CACHED_WORDS:
-            for x in self.bits.values():
-                x.clear()
-        self.bits[lang].update((w, x) for w, x in got.items() if len(w) <= 64)
-        return total
 
+class Known:
+    """Words of a language with their hashes and scores."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.hashes, self.bits = np.empty(1024, np.uint64), np.empty(1024)
+
+    def learn(self, words: list[bytes], bits: np.ndarray) -> int:
+        at, need = len(self.index), len(self.index) + len(words)
+        if need > len(self.hashes):
+            self.hashes, self.bits = np.resize(self.hashes, 2 * need), np.resize(self.bits, 2 * need)
+        self.hashes[at:need] = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+        self.bits[at:need] = bits
+        self.index.update(zip(words, range(at, need), strict=True))
+        return sum(map(len, words))
+
+
+class Scorer:
+    """Word hashes and mean bits of texts, new words of some texts at a time."""
+
+    def __init__(self, path: str) -> None:
+        self.model = Model(path)
+        self.known: dict[str, Known] = defaultdict(Known)
+        self.bytes = 0
 
-_MODELS: dict[str, Model] = {}
+    def many(self, langs: list[str], texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, float]]:
+        """(hashes, bits of all) of each text's words."""
+        if self.bytes > CACHED_BYTES or sum(len(k.index) for k in self.known.values()) > CACHED_WORDS:
+            self.known.clear()
+            self.bytes = 0
+        fresh: dict[str, set[bytes]] = defaultdict(set)
+        for lang, words in zip(langs, texts, strict=True):
+            fresh[lang].update(words)
+        for lang, words in fresh.items():
+            known = self.known[lang]
+            new = list(words.difference(known.index))
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                self.bytes += known.learn(part, self.model.word_bits(lang, part))
+        for lang, words in zip(langs, texts, strict=True):
+            known = self.known[lang]
+            at = np.fromiter(map(known.index.__getitem__, words), np.int64, len(words))
+            yield known.hashes[at], float(known.bits[at].sum())
+
+
+_SCORERS: dict[str, Scorer] = {}
 
 
 # ---- scores and verdicts ----
@@ -294,17 +335,20 @@ def repeated_words(hashes: np.ndarray, window: int) -> int:
     """Words that lie in windows found twice or more."""
     if len(hashes) <= window:
         return 0
-    _, back, counts = np.unique(windows(hashes, window), return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(counts[back] > 1)
-    if not len(starts):
+    found = windows(hashes, window)
+    order = np.sort(found)
+    again = order[1:][order[1:] == order[:-1]]
+    if not len(again):
         return 0
+    starts = np.flatnonzero(np.isin(found, again))
     edge = np.zeros(len(hashes) + 1, np.int64)
     edge[starts] += 1
     np.add.at(edge, starts + window, -1)
     return int((np.cumsum(edge) > 0).sum())
 
 
-def base_counts(text: str, words: list[bytes], window: int) -> tuple[int, int, int, int]:
+def base_counts(text: str) -> tuple[int, int, int]:
+    """Code points of words, symbols, and lines with a word that an earlier line equals."""
     seen: set[str] = set()
     again = 0
     if "\n" in text:
@@ -313,8 +357,7 @@ def base_counts(text: str, words: list[bytes], window: int) -> tuple[int, int, i
                 again += 1
             elif line.strip(BLANKS):
                 seen.add(line)
-    chars = len(text) - sum(map(text.count, BLANKS))
-    return chars, sum(map(text.count, SYMBOLS)), again, repeated_words(word_hashes(words), window)
+    return len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again
 
 
 SCORES = "id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, bits double"
@@ -322,20 +365,30 @@ SCORES = "id bigint, lang string, n_words bigint, word_chars bigint, n_symbols b
 
 def _scored(df: DataFrame, path: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _MODELS:
-            _MODELS.clear()
-            _MODELS[path] = Model(path)
-        model = _MODELS[path]
-        for b in batches:
+        if path not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[path] = Scorer(path)
+
+        def scored(ids: list, langs: list[str], texts: list[str]) -> pa.RecordBatch:
+            words = [t.encode().split() for t in texts]
             rows = []
-            for lang, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                text = text.as_py() or ""
-                words = text.encode().split()
-                counts = base_counts(text, words, window)
-                rows.append((len(words), *counts, model.text_bits(lang, words) / (counts[0] + len(words)) if words else None))
-            if rows:
-                kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], [x.split()[0] for x in SCORES.split(", ")])
+            for text, found, (hashes, bits) in zip(texts, words, _SCORERS[path].many(langs, words), strict=True):
+                chars, symbols, lines = base_counts(text)
+                rows.append((len(found), chars, symbols, lines, repeated_words(hashes, window), bits / (chars + len(found)) if found else None))
+            kinds = [pa.int64()] * 5 + [pa.float64()]
+            arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))]
+            return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCORES.split(", ")])
+
+        for b in batches:
+            ids, langs, texts, size = [], [], [], 0
+            for i, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ids.append(i), langs.append(lang), texts.append(text.as_py() or "")
+                size += len(texts[-1]) + 256
+                if size > TOGETHER:
+                    yield scored(ids, langs, texts)
+                    ids, langs, texts, size = [], [], [], 0
+            if ids:
+                yield scored(ids, langs, texts)
 
     return df.select("id", "lang", "t").mapInArrow(run, SCORES)
 

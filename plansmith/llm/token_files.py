@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from plansmith.llm.common import fresh_path, table
 from plansmith.llm.tokenizing import encoder, vocabulary_path
+from plansmith.session import ship
 
 MAGIC = b"TOKSHRD1"
 LEVELS = 40
@@ -172,6 +173,7 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, id_col: str = "doc_i
     """
     from tokenizers import Tokenizer
 
+    ship(df.sparkSession)
     width = 2 if max(Tokenizer.from_file(vocabulary).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
@@ -223,6 +225,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def scan_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every row of the files; every non-null key is found through its shard's index on the way."""
+    ship(spark)
     shards = [(s["name"], s["start"]) for s in open_manifest(path)["shards"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +256,7 @@ def lookup_tokens(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
     A key that was written several times gives all its rows; repeated, unknown and null keys give theirs, none and none.
     A fingerprint match is confirmed with the row's key.
     """
+    ship(keys.sparkSession)
     shards = [s for s in open_manifest(path)["shards"] if s["first"] is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
