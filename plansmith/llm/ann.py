@@ -153,7 +153,8 @@ def nearest(
     split = buckets.filter("parts > 1").select("t", "key", "parts")
     placed = index.join(split, ["t", "key"], "left").withColumn("part", F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1))).cast("int"))
     left = placed.select("class", "t", "key", cell).join(classes, "class").select("cell", "class", "t", "key", "ids", "v")
-    visits = asked.select("ask", "v").mapInArrow(probed, "ask bigint, t int, key bigint").join(buckets.select("t", "key", "parts"), ["t", "key"])
+    # Spark takes the probes for as small as the queries: without the hint it would broadcast them.
+    visits = asked.select("ask", "v").mapInArrow(probed, "ask bigint, t int, key bigint").hint("merge").join(buckets.select("t", "key", "parts"), ["t", "key"])
     visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("ask", "t", "key", cell)
     visits = visits.groupBy("cell", "ask").agg(F.collect_set(F.struct("t", "key")).alias("at")).join(asked, "ask")
     right = visits.select("cell", "query_id", F.col("at.t").alias("t"), F.col("at.key").alias("key"), "v")
