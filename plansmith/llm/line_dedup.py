@@ -51,6 +51,7 @@ def dedup_lines(
     )
     dropped = (
         pairs.withColumn("salt", F.pmod(F.xxhash64("__doc"), F.lit(SALTS)).cast("int"))
+        .hint("merge")
         .join(shared, ["a", "b", "salt"])
         .filter(~F.col("__doc").eqNullSafe(F.col("__last")))
         .groupBy("__doc")

@@ -214,7 +214,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         members.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rank", "node")).alias("head")).filter("m > 1")
         .select("key", F.col("head.node").alias("head"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    grouped = stored(members.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int")).join(shared, ["key", "salt"]).select("key", "node", "head"), "buckets")
+    grouped = stored(members.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int")).hint("merge").join(shared, ["key", "salt"]).select("key", "node", "head"), "buckets")
     facts = classes.select("node", "n", "sketch", "level", "parity")
     stars = (
         grouped.filter("node != head").select("node", "head").distinct()
@@ -238,7 +238,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     once = (F.col("y.c") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
     equal = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
     lead = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    crossing = x.join(y, equal & (F.col("x.c") != F.col("y.c")) & once & _likely(s, "x", "y") & lead).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    crossing = x.hint("merge").join(y, equal & (F.col("x.c") != F.col("y.c")) & once & _likely(s, "x", "y") & lead).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
     done = tried.unionByName(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
     rest = stored(crossing.distinct().join(done, ["u", "v"], "left_anti"), "crossing")
     if rest.limit(1).count():
