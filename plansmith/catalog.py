@@ -536,7 +536,7 @@ def mc_wrong_answer(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", answer.alias("answer"), datasets.wrong_choice(answer).alias("wrong"))
 
 
-@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'B' END AS choice FROM benchmark")
+@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'B' ELSE '' END AS choice FROM benchmark")
 def extract_answer(spark, sf_dir):
-    text = F.element_at(F.array(F.lit("The answer is C, not A."), F.lit("I think (b) fits"), F.lit("none of them")), (F.col("item_id") % 3 + 1).cast("int"))
+    text = F.element_at(F.array(F.lit("答案：C，not A"), F.lit("I think (b) fits"), F.lit("none of them")), (F.col("item_id") % 3 + 1).cast("int"))
     return load(spark, sf_dir, "benchmark").select("item_id", evaluate.choice_letter(text).alias("choice"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plansmith.functions.registry import PROTEIN
 from plansmith.functions.wording import RANKS, TEMPLATES, UNRANKED
 from plansmith.plans.model import flat_keys
-from plansmith.plans.prompts import chat, messages
+from plansmith.plans.prompts import chat, messages, repair_messages
 
 FLAT = "candidate_id string, scaffold_type string, oral_class string, engineered boolean, has_experimental_affinity boolean, organism string, sort_by string, sort_dir string, limit int"
 
@@ -205,6 +205,56 @@ def preference_pairs(rows: DataFrame, prompt: str = "prompt", plan: str = "plan"
     )
 
 
+def repair_cases(plan: Column) -> Column:
+    """array<struct<text, errors>> of broken answers to a flat plan, with what is wrong in each; cases that don't apply are left out."""
+    whole = plan_json(plan)
+    values = {k: plan[k] for k in flat_keys()}
+
+    def case(when: Column | None, errors: list[str], text: Column | None = None, **changed: Column) -> Column:
+        if text is None:
+            text = F.to_json(F.struct(*((changed[k] if k in changed else c).alias(k) for k, c in values.items())), {"ignoreNullFields": "false"})
+        out = F.struct(text.alias("text"), F.array(*map(F.lit, errors)).alias("errors"))
+        return out if when is None else F.when(when, out)
+
+    def other(name: str) -> Column:
+        options = PROTEIN.by_name[name].values
+        return F.when(plan[name] == options[0], F.lit(options[1])).otherwise(F.lit(options[0]))
+
+    lit, has = F.lit, {k: c.isNotNull() for k, c in values.items()}
+    null = {k: lit(None).cast(PLAN_KINDS[k]) for k in PROTEIN.slots}
+    word, off = "schema_key_as_value", lambda k: f"semantic_mismatch_{k}"
+    cases = [
+        case(None, ["empty_filters"], **null), case(None, ["wrapped_prose"], F.concat(lit("请修正这个 JSON: "), whole)), case(None, ["invalid_limit"], F.regexp_replace(whole, r',"limit":\d+', "")),
+        case(None, ["invalid_limit"], limit=lit("top five")), case(None, ["parse_failed"], F.regexp_replace(whole, r"\}$", "")), case(None, ["parse_failed"], F.regexp_replace(whole, r"\}$", ',"length":20')),
+        case(None, ["unsupported_field_alias"], F.regexp_replace(whole, r"\}$", ',"outer":"Low"}')), case(None, [off("limit")], limit=F.when(plan["limit"] == 5, 10).otherwise(5)),
+    ]
+    for name, junk, typo in (("scaffold_type", "ABC", "statper_class"), ("oral_class", "Medi", "higheral_class")):
+        cases += [
+            case(has[name], [word, off(name)], **{name: lit("candidate_id")}), case(has[name], [word], **{name: lit("candidate_search" if name == "scaffold_type" else name)}), case(has[name], ["invalid_slot_value", off(name)], **{name: lit(junk)}),
+            case(has[name], [off(name)], **{name: other(name)}), case(has[name], [off(name)], F.replace(whole, lit(f'"{name}":'), lit(f'"{typo}":'))),
+        ]
+    e, x = "engineered", "has_experimental_affinity"
+    cases += [
+        case(has[e], ["invalid_boolean_value"], engineered=lit("Age")), case(has[e], [word, off(e)], engineered=lit("candidate_id")), case(has[e], [off(e)], engineered=~plan[e]),
+        case(has[e], [off(e)], F.replace(whole, lit(f'"{e}":'), lit('"engimber_":'))), case(plan[x], [off(x)], has_experimental_affinity=lit(False)), case(plan[x], ["invalid_boolean_value", off(x)], has_experimental_affinity=lit("tightness")),
+        case(plan[x], ["parse_failed", off(x)], F.replace(whole, lit(f'"{x}":true'), lit(f'"{x}":tightness'))), case(has["sort_by"], ["invalid_sort"], sort_by=lit("affinity")), case(has["sort_by"], [word, "invalid_sort"], sort_by=lit("candidate_id")),
+        case(has["sort_by"], ["parse_failed", "invalid_sort"], F.replace(whole, lit('"sort_dir":"asc"'), lit('"sort_dir":"\\")'))),
+    ]
+    return F.array_compact(F.array(*cases))
+
+
+PLAN_KINDS = dict(x.split(" ") for x in FLAT.split(", "))
+
+
+def repair_chats(rows: DataFrame, seed: int, per_row: int, prompt: str = "prompt", plan: str = "plan", key: str = "candidate_id") -> DataFrame:
+    """(key, errors, conversations): per_row distinct broken answers of each row, chosen by seed, each with the repair that is wanted."""
+    each = rows.select(key, prompt, plan, F.explode(F.array_distinct(repair_cases(F.col(plan)))).alias("c"))
+    order = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), key, "c.text"), "c.text")
+    kept = each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_row)
+    asked = repair_messages(F.col(prompt), F.col("c.text"), F.col("c.errors"))
+    return kept.select(key, F.col("c.errors").alias("errors"), F.array_append(asked, F.struct(F.lit("assistant").alias("role"), plan_json(F.col(plan)).alias("content"))).alias("conversations"))
+
+
 def wrong_choice(answer: Column) -> Column:
     """The next of A, B, C, D."""
     return F.element_at(F.array(*map(F.lit, "ABCD")), (F.pmod(F.instr(F.lit("ABCD"), answer), F.lit(4)) + 1).cast("int"))

@@ -152,10 +152,13 @@ def best_choice(scores: Column) -> Column:
 
 
 def choice_letter(text: Column) -> Column:
-    """A, B, C or D as an answer states it: behind a word for answer, else the first that stands alone."""
-    named = F.regexp_extract(F.upper(text), r"(?:ANSWER|答案)\s*(?:IS|为|是)?\s*[:：]?\s*([ABCD])", 1)
-    alone = F.regexp_extract(F.upper(text), r"(?:^|[^A-Z])([ABCD])(?:[^A-Z]|$)", 1)
-    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(alone, F.lit("")))
+    """The first A, B, C or D in a text of any case, "" without one; a word for answer may stand before it."""
+    return F.regexp_extract(F.upper(F.trim(text)), r"(?:答案|选项|ANSWER)?\s*[:：]?\s*([ABCD])", 1)
+
+
+def first_pass_perfect(plan: Column, gold: Column, schema_ok: Column) -> Column:
+    """Whether a plan was right at once: filters and sort keys in the same order, whatever fields it returns."""
+    return F.coalesce(schema_ok, F.lit(False)) & plan.dropFields("return_fields").eqNullSafe(gold.dropFields("return_fields"))
 
 
 def token_fit(rows: DataFrame, limit: int) -> DataFrame:

@@ -136,3 +136,88 @@ def test_files(spark, tmp_path):
     assert files.first_existing([str(tmp_path / "no"), str(tmp_path)]) == str(tmp_path)
     with pytest.raises(FileNotFoundError):
         files.first_existing([str(tmp_path / "no")])
+
+
+def test_schema_rows_and_seeds(spark):
+    from plansmith.operators import records
+
+    cols = [s for s, _ in records.FIELDS.values()]
+    data = [tuple([*(f"{c}{i:02d}" if c != "mutations" else None for c in cols), "yes" if i % 2 else " ", i]) for i in range(9)]
+    df = spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in cols) + ", GT_answer string, _pos int")
+    for kind, n in (("full", 8), ("short", 10), ("strict", 5)):
+        out = records.schema_rows(df, kind)
+        assert out["train"].count() == 3 * n and out["dev"].count() == 6 * n and out["eval"].count() == 6
+        r = out["dev"].first().conversations
+        assert r[1].content.startswith("RecordType: AntibodyAntigenEvidence\nAntibody: Proteins_canonical_name0") and len(r[1].content.splitlines()) == (16 if kind == "full" else 8)
+        assert kind != "full" or "KeyMutations: NA" in r[1].content
+    pairs = records.interaction_seeds(df).collect()
+    assert len(pairs) == 8 and pairs[1].conversations[1].content.endswith("\n\nSource identifier: Sources_identifier01")
+    assert records.record_seeds(df, more=2).count() == 11
+
+
+def test_multiple_choice(spark):
+    from plansmith.operators import records
+
+    q = "id int, question string, A string, B string, C string, D string, answer string, subject string"
+    df = spark.createDataFrame([(1, "q1", "a", "b", "c", "d", " d ", "med"), (2, "q2", "a", "b", "c", "d", "A", "med")], q)
+    p = records.choice_pairs(df).orderBy("id").collect()
+    assert [(r.id, r.chosen[1].content, r.rejected[1].content) for r in p] == [("med_dev_1", "D", "A"), ("med_dev_2", "A", "B")]
+    shots = records.with_shots(df, df, 1)
+    text = shots.select(records.choice_prompt(F.struct("question", "A", "B", "C", "D", "answer"), F.col("subject"), F.col("shots")).alias("t")).collect()[1].t
+    assert text == "以下是中国关于med考试的单项选择题，请选出其中的正确答案。\n\nq1\nA. a\nB. b\nC. c\nD. d\n答案：D\n\n\nq2\nA. a\nB. b\nC. c\nD. d\n答案："
+    said = records.scored_choices(df.withColumn("answer", F.trim("answer")), spark.createDataFrame([("1", "d")], "id string, prediction string")).orderBy("id").collect()
+    assert [(r.prediction, r.correct) for r in said] == [("d", True), ("", False)]
+
+
+def test_answer_mask(spark):
+    from plansmith.operators import records
+
+    def plain(ids, b, e, longest):
+        out, i = [0] * len(ids), 0
+        while i < len(ids):
+            if ids[i : i + len(b)] != b:
+                i += 1
+                continue
+            j = i + len(b)
+            while j < len(ids) and ids[j : j + len(e)] != e:
+                j += 1
+            for k in range(i + len(b), min(j + len(e), longest, len(ids))):
+                out[k] = 1
+            i = j + len(e)
+        return out
+
+    import random
+
+    rng = random.Random(4)
+    rows = [[rng.choice([1, 2, 3, 9]) for _ in range(rng.randrange(0, 30))] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, ids array<int>")
+    for b, e, longest in (([1, 2], [3], 25), ([1], [2, 3], 99), ([1, 2, 3], [9, 9], 20)):
+        for r in df.select("i", records.answer_mask(F.col("ids"), b, e, longest).alias("m")).collect():
+            assert r.m == plain(rows[r.i], b, e, longest), (rows[r.i], b, e)
+
+
+def test_repair_cases_are_told_apart(spark):
+    from plansmith.plans.choose import Candidate, semantic_reasons, structural_reasons
+    from plansmith.plans.model import flatten
+
+    rows = datasets.holdout(candidates(spark), 3, "v12", 12, {"train": 20})
+    out = datasets.repair_chats(rows.withColumnRenamed("id", "key"), 7, 4, key="key").collect()
+    assert len(out) == 48 and all(r.conversations[-1].role == "assistant" for r in out)
+    for r in rows.select("plan", datasets.repair_cases(F.col("plan")).alias("c"), datasets.plan_json(F.col("plan")).alias("good")).collect():
+        right = Candidate.read(r.good)
+        assert not right.trace.errors and flatten(right.plan)["limit"] == r.plan.limit
+        asked = {k: v for k, v in r.plan.asDict().items() if v is not None and k not in ("candidate_id", "organism")}
+        for c in r.c:
+            got = Candidate.read(c.text)
+            reasons = structural_reasons(got.trace) + semantic_reasons(got.plan, asked)
+            for e in c.errors:
+                if e.startswith("semantic_mismatch") and "statper" not in c.text and "higheral" not in c.text and "engimber" not in c.text:
+                    assert e in reasons, (c.text, c.errors, reasons)
+
+
+def test_demo(spark, sf):
+    from plansmith import demo
+    from plansmith.operators.entities import part_candidates
+
+    text = demo.render("oral high engineered, affinity, limit 3", part_candidates(spark, sf))
+    assert '"best_affinity_value"' in text and text.count('"candidate_id":') == 3
