@@ -62,10 +62,11 @@ def score(predicted: Plan | None, gold: Plan, rows: DataFrame, id_col: str = "ca
         "slot_accuracy": round(len(_slots(gold) & _slots(predicted)) / len(_slots(gold)), 4),
     }
     try:
-        ids = [{r[0] for r in run(rows, p).select(id_col).collect()} for p in (gold, predicted)]
+        wanted, found = (run(rows, p).select(id_col).distinct().withColumn(n, F.lit(1)) for p, n in ((gold, "g"), (predicted, "p")))
     except ValueError:
         return out | {"execution_success": False, "result_overlap_at_k": 0.0}
-    return out | {"execution_success": True, "result_overlap_at_k": _share(*ids)}
+    n = wanted.join(found, id_col, "full").agg(F.count("g").alias("g"), F.count("p").alias("p"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("both")).first()
+    return out | {"execution_success": True, "result_overlap_at_k": round(n.both / n.g, 4) if n.g else float(not n.p)}
 
 
 def summarize(scores: DataFrame) -> DataFrame:
