@@ -4,7 +4,7 @@ The model is a modified Kneser-Ney model of the symbols of words (order 5, with
 language. Spark counts it over all documents: tasks count each document's distinct words, break them into n-grams,
 and everything after that is joins and aggregations of n-gram rows. Discounted probabilities and back-off weights
 are written as arrays sorted by n-gram hash, in shards by hash range; scoring tasks hold a bounded number of shards
-and look words up by binary search, each distinct word once. Language bands come from a histogram of all documents'
+and look words up in them, each distinct word once. Language bands come from a histogram of all documents'
 scores.
 """
 
@@ -31,9 +31,9 @@ ORDER = 5
 #: Entries of a shard (16 bytes each), aimed at.
 SHARD = 1_000_000
 #: Bytes of shards that a worker keeps.
-HELD = 192 << 20
+HELD = 96 << 20
 #: Words, and bytes of words, that a worker remembers with their scores.
-CACHED_WORDS, CACHED_BYTES = 800_000, 96 << 20
+CACHED_WORDS, CACHED_BYTES = 500_000, 64 << 20
 #: Characters of texts whose new words are scored together.
 TOGETHER = 2 << 20
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -59,6 +59,12 @@ class Rules:
 # ---- counting ----
 
 
+def broken(word: str) -> list[str]:
+    """The longest n-gram that ends at each symbol of a word and at its end."""
+    s = BEGIN + word + END
+    return [s[:k] for k in range(2, min(len(s), ORDER - 1) + 1)] + [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+
+
 def _counted(df: DataFrame) -> DataFrame:
     """(lang, gram, n): a row for each n-gram and task, or several; n counts the documents' distinct words."""
     ship(df.sparkSession)
@@ -68,14 +74,18 @@ def _counted(df: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in words.items():
-                grams: dict[str, int] = defaultdict(int)
+                grams: Counter = Counter()
+                once, rest = [], []
                 for w, c in found.items():
-                    s = BEGIN + w.decode() + END
-                    for i in range(1, len(s)):
-                        grams[s[max(0, i - ORDER + 1) : i + 1]] += c
+                    (once if c == 1 else rest).append((w, c))
+                for at in range(0, len(once), 20_000):
+                    grams.update([g for w, _ in once[at : at + 20_000] for g in broken(w.decode())])
                     if len(grams) > 500_000:
                         yield _grams(lang, grams)
                         grams.clear()
+                for w, c in rest:
+                    for g in broken(w.decode()):
+                        grams[g] += c
                 if grams:
                     yield _grams(lang, grams)
             words.clear()
@@ -83,7 +93,7 @@ def _counted(df: DataFrame) -> DataFrame:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words[lang].update(set((text.as_py() or "").encode().split()))
-            if sum(map(len, words.values())) > 800_000:
+            if sum(map(len, words.values())) > 500_000:
                 yield from flush()
         yield from flush()
 
@@ -216,6 +226,32 @@ def store_model(model: DataFrame, path: str) -> None:
         f.write(str(shards).encode())
 
 
+class Entries:
+    """A shard's arrays. The leading bits of a hash, behind those all of the shard share, give where in the sorted array to look."""
+
+    def __init__(self, h: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, shared: int) -> None:
+        self.h, self.alpha, self.gamma, self.shared = h, alpha, gamma, np.uint64(shared)
+        bits = max(1, len(h).bit_length())
+        self.drop = np.uint64(64 - bits)
+        self.starts = np.searchsorted((h << self.shared) >> self.drop, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.bytes = h.nbytes + alpha.nbytes + gamma.nbytes + self.starts.nbytes
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of hashes, -1 for those that aren't there."""
+        out = np.full(len(wanted), -1)
+        lead = ((wanted << self.shared) >> self.drop).astype(np.int64)
+        at, end = self.starts[lead], self.starts[lead + 1]
+        todo = np.flatnonzero(at < end)
+        at, end = at[todo], end[todo]
+        while len(todo):
+            same = self.h[at] == wanted[todo]
+            out[todo[same]] = at[same]
+            at += 1
+            more = ~same & (at < end)
+            todo, at, end = todo[more], at[more], end[more]
+        return out
+
+
 class Model:
     """The stored arrays of all languages; shards are read when they are first looked into and at most HELD bytes stay."""
 
@@ -223,10 +259,10 @@ class Model:
         self.fs, self.at = _filesystem(path)
         with self.fs.open_input_file(f"{self.at}/shards") as f:
             self.shards = int(f.read())
-        self.held: OrderedDict[tuple, tuple | None] = OrderedDict()
+        self.held: OrderedDict[tuple, Entries | None] = OrderedDict()
         self.bytes = 0
 
-    def _shard(self, lang: str, n: int) -> tuple | None:
+    def _shard(self, lang: str, n: int) -> Entries | None:
         key = lang, n
         if key in self.held:
             self.held.move_to_end(key)
@@ -234,13 +270,14 @@ class Model:
         try:
             with self.fs.open_input_file(f"{self.at}/{_folder(lang)}/{n}.npz") as f:
                 x = np.load(io.BytesIO(f.read()))
-                got = x["h"], x["alpha"], x["gamma"]
+                got = Entries(x["h"], x["alpha"], x["gamma"], self.shards.bit_length() - 1)
         except FileNotFoundError:
             got = None
         self.held[key] = got
-        self.bytes += sum(a.nbytes for a in got or ())
+        self.bytes += got.bytes if got else 0
         while self.bytes > HELD and len(self.held) > 1:
-            self.bytes -= sum(a.nbytes for a in self.held.popitem(last=False)[1] or ())
+            gone = self.held.popitem(last=False)[1]
+            self.bytes -= gone.bytes if gone else 0
         return got
 
     def look(self, lang: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +287,8 @@ class Model:
             mine = slice(None) if self.shards == 1 else np.flatnonzero(shard == n)
             wanted = h[mine]
             if len(wanted) and (got := self._shard(lang, n)) is not None:
-                at = np.minimum(np.searchsorted(got[0], wanted), len(got[0]) - 1)
-                hit = got[0][at] == wanted
-                alpha[mine], gamma[mine] = np.where(hit, got[1][at], 0.0), np.where(hit, got[2][at], 1.0)
+                at = got.find(wanted)
+                alpha[mine], gamma[mine] = np.where(at >= 0, got.alpha[at], 0.0), np.where(at >= 0, got.gamma[at], 1.0)
         return alpha, gamma
 
     def word_bits(self, lang: str, words: list[bytes]) -> np.ndarray:

@@ -247,7 +247,7 @@ def scan_tokens(spark: SparkSession, path: str) -> DataFrame:
                     yield _batch(rows)
 
     listed = spark.createDataFrame(shards, "name string, start bigint")
-    return listed.repartition(max(1, len(shards)), "name").mapInArrow(run, OUT)
+    return listed.repartition(max(1, len(shards))).mapInArrow(run, OUT)
 
 
 def lookup_tokens(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:

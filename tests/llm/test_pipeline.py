@@ -89,7 +89,9 @@ def kneser_ney(texts, rules):
     return bits
 
 
-def test_quality_equals_definition(spark, sf):
+@pytest.mark.parametrize("shard", [quality.SHARD, 700])
+def test_quality_equals_definition(spark, sf, monkeypatch, shard):
+    monkeypatch.setattr(quality, "SHARD", shard)
     rows = read(spark, sf).collect()[:120]
     df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id bigint, text string, lang string").repartition(3)
     rules = quality.Rules()
