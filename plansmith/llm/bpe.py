@@ -119,7 +119,7 @@ class RankBpe(Chunked):
             n, s = len(word), word + self.suffix
             parts = (merge_short if n <= LONG else merge_long)(s, n, self.rank, self.two)
             ids = _u4([self.vocab[p] for p in parts if p in self.vocab])
-            if len(self.words) >= CACHED_CHUNKS:
+            if len(self.words) >= CACHED_CHUNKS // 2:
                 self.words.clear()
             if n <= CACHED_CHARS:
                 self.words[word] = ids
