@@ -1,10 +1,11 @@
 """Quality rules: language-specific bands of n-gram perplexity, beside a few rules on repetition and length.
 
-The model is a modified Kneser-Ney model of the symbols of words (order 5, with marks at both ends), one for each
-language. Spark counts it over all documents: tasks count each document's distinct words, break them into n-grams,
-and everything after that is joins and aggregations of n-gram rows. Discounted probabilities and back-off weights
+There are two modified Kneser-Ney models of symbols (order 5) for each language: one of the symbols inside words, with
+marks at both ends, and one of the n-grams that run over the blank between words. Spark counts them over all
+documents: tasks count each document's distinct words, and all windows about blanks, break them into n-grams, and
+everything after that is joins and aggregations of n-gram rows. Discounted probabilities and back-off weights
 are written as arrays sorted by n-gram hash, in shards by hash range; scoring tasks hold a bounded number of shards
-and look words up in them, each distinct word once. Language bands come from a histogram of all documents'
+and look words and windows up in them, each distinct one once. Each score has its language bands; they come from a histogram of all documents'
 scores.
 """
 
@@ -28,12 +29,18 @@ from plansmith.session import ship
 
 BEGIN, END = "\x02", "\x03"
 ORDER = 5
+#: Before a language's name: its model inside words, and the one over blanks.
+WITHIN, ACROSS = "w", "a"
+#: Symbols of a window before its blank; as many follow it.
+SIDE = ORDER - 2
 #: Entries of a shard (16 bytes each), aimed at.
 SHARD = 1_000_000
 #: Bytes of shards that a worker keeps.
 HELD = 96 << 20
 #: Words, and bytes of words, that a worker remembers with their scores.
 CACHED_WORDS, CACHED_BYTES = 500_000, 64 << 20
+#: Windows that a worker remembers with their scores.
+CACHED_WINDOWS = 200_000
 #: Characters of texts whose new words are scored together.
 TOGETHER = 2 << 20
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -65,12 +72,28 @@ def broken(word: str) -> list[str]:
     return [s[:k] for k in range(2, min(len(s), ORDER - 1) + 1)] + [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
 
 
+def about_blanks(words: list[bytes]) -> tuple[list[str], int]:
+    """A window for each word: the three symbols before it (of the words before, or BEGIN), a blank and what follows up to three symbols; and how many symbols they score."""
+    if not words:
+        return [], 0
+    text = BEGIN * SIDE + " " + b" ".join(words).decode() + " "
+    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+    return [text[i : i + ORDER + 2] for i in (blanks[:-1] - SIDE).tolist()], int(np.minimum(np.diff(blanks), SIDE).sum())
+
+
+def cut(window: str) -> str:
+    """A window up to the blank that ends its word."""
+    end = window.find(" ", SIDE + 1)
+    return window if end < 0 else window[: end + 1]
+
+
 def _counted(df: DataFrame) -> DataFrame:
-    """(lang, gram, n): a row for each n-gram and task, or several; n counts the documents' distinct words."""
+    """(lang, gram, n): a row for each model, n-gram and task, or several; n counts the documents' distinct words, and all windows."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
+        joints: dict[str, Counter] = defaultdict(Counter)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in words.items():
@@ -81,19 +104,29 @@ def _counted(df: DataFrame) -> DataFrame:
                 for at in range(0, len(once), 20_000):
                     grams.update([g for w, _ in once[at : at + 20_000] for g in broken(w.decode())])
                     if len(grams) > 500_000:
-                        yield _grams(lang, grams)
+                        yield _grams(WITHIN + lang, grams)
                         grams.clear()
                 for w, c in rest:
                     for g in broken(w.decode()):
                         grams[g] += c
                 if grams:
-                    yield _grams(lang, grams)
+                    yield _grams(WITHIN + lang, grams)
             words.clear()
+            for lang, found in joints.items():
+                grams = Counter()
+                for w, c in found.items():
+                    w = cut(w)
+                    for i in range(len(w) - ORDER + 1):
+                        grams[w[i : i + ORDER]] += c
+                yield _grams(ACROSS + lang, grams)
+            joints.clear()
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words[lang].update(set((text.as_py() or "").encode().split()))
-            if sum(map(len, words.values())) > 500_000:
+                found = (text.as_py() or "").encode().split()
+                words[lang].update(set(found))
+                joints[lang].update(about_blanks(found)[0])
+            if sum(map(len, words.values())) + sum(map(len, joints.values())) > 500_000:
                 yield from flush()
         yield from flush()
 
@@ -105,7 +138,7 @@ def _grams(lang: str, grams: dict[str, int]) -> pa.RecordBatch:
 
 
 def count_model(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """df (lang, t) to (lang, gram, kept, alpha, gamma): alpha the discounted probability of the last symbol after the others, gamma the weight of shorter contexts after gram.
+    """df (lang, t) to (lang, gram, alpha, gamma), lang with WITHIN or ACROSS before it: alpha the discounted probability of the last symbol after the others, gamma the weight of shorter contexts after gram.
 
     Lower orders count distinct left neighbours, but n-grams that begin a word occurrences. Discounts come from the
     counts of counts of the language and order; n-grams with fewer than min_count occurrences are then left out,
@@ -293,7 +326,14 @@ class Model:
 
     def word_bits(self, lang: str, words: list[bytes]) -> np.ndarray:
         """-log2 of each word's probability, its end included."""
-        texts = [BEGIN + w.decode() + END for w in words]
+        return self._bits(WITHIN + lang, [BEGIN + w.decode() + END for w in words], 1)
+
+    def joint_bits(self, lang: str, found: list[str]) -> np.ndarray:
+        """-log2 of the probability of what follows the blank of each window."""
+        return self._bits(ACROSS + lang, list(map(cut, found)), SIDE + 1)
+
+    def _bits(self, lang: str, texts: list[str], first: int) -> np.ndarray:
+        """-log2 of the probability of each text's symbols from place first on."""
         codes, lengths = _codes("".join(texts)), np.array([len(t) for t in texts])
         place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         none = gram_hashes([""])
@@ -304,15 +344,15 @@ class Model:
         for k in range(1, ORDER + 1):
             with np.errstate(over="ignore"):
                 poly[k - 1 :] += codes[: len(codes) - k + 1] * np.uint64(_P[k - 1])
-            ok = np.flatnonzero(place >= k - 1)
+            ok = np.flatnonzero(place >= max(k, first) - 1)
             a, g = self.look(lang, _hash(poly[ok], k))
             if k == 1:
-                p += a
+                p[ok] += a
             else:
                 p[ok] = a + before[ok - 1] * p[ok]
             before = np.ones(len(codes))
             before[ok] = g
-        bits = np.where(place > 0, -np.log2(np.maximum(p, 2.0**-60)), 0.0)
+        bits = np.where(place >= first, -np.log2(np.maximum(p, 2.0**-60)), 0.0)
         return np.add.reduceat(bits, np.cumsum(lengths) - lengths)
 
 
@@ -340,6 +380,22 @@ class Scorer:
         self.model = Model(path)
         self.known: dict[str, Known] = defaultdict(Known)
         self.bytes = 0
+        self.joints: dict[str, dict[str, float]] = defaultdict(dict)
+
+    def across(self, langs: list[str], texts: list[list[bytes]]) -> list[float | None]:
+        """Mean bits of the symbols that each text's windows score."""
+        if sum(map(len, self.joints.values())) > CACHED_WINDOWS:
+            self.joints.clear()
+        all_found = list(map(about_blanks, texts))
+        fresh: dict[str, set[str]] = defaultdict(set)
+        for lang, (found, _) in zip(langs, all_found, strict=True):
+            fresh[lang].update(found)
+        for lang, found in fresh.items():
+            new = list(found.difference(self.joints[lang]))
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                self.joints[lang].update(zip(part, self.model.joint_bits(lang, part).tolist(), strict=True))
+        return [sum(map(self.joints[lang].__getitem__, found)) / n if n else None for lang, (found, n) in zip(langs, all_found, strict=True)]
 
     def many(self, langs: list[str], texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, float]]:
         """(hashes, bits of all) of each text's words."""
@@ -396,7 +452,7 @@ def base_counts(text: str) -> tuple[int, int, int]:
     return len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again
 
 
-SCORES = "id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, bits double"
+SCORES = "id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, bits double, across double"
 
 
 def _scored(df: DataFrame, path: str, window: int) -> DataFrame:
@@ -408,10 +464,11 @@ def _scored(df: DataFrame, path: str, window: int) -> DataFrame:
         def scored(ids: list, langs: list[str], texts: list[str]) -> pa.RecordBatch:
             words = [t.encode().split() for t in texts]
             rows = []
-            for text, found, (hashes, bits) in zip(texts, words, _SCORERS[path].many(langs, words), strict=True):
+            scorer = _SCORERS[path]
+            for text, found, (hashes, bits), across in zip(texts, words, scorer.many(langs, words), scorer.across(langs, words), strict=True):
                 chars, symbols, lines = base_counts(text)
-                rows.append((len(found), chars, symbols, lines, repeated_words(hashes, window), bits / (chars + len(found)) if found else None))
-            kinds = [pa.int64()] * 5 + [pa.float64()]
+                rows.append((len(found), chars, symbols, lines, repeated_words(hashes, window), bits / (chars + len(found)) if found else None, across))
+            kinds = [pa.int64()] * 5 + [pa.float64()] * 2
             arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))]
             return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCORES.split(", ")])
 
@@ -429,9 +486,9 @@ def _scored(df: DataFrame, path: str, window: int) -> DataFrame:
     return df.select("id", "lang", "t").mapInArrow(run, SCORES)
 
 
-def bands(scores: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(lang, low, high) in bits a symbol, from a histogram in thousandths of the texts that pass the base rules."""
-    fine = scores.filter(~_failed(rules)).select("lang", F.round(F.col("bits") * 1000).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n"))
+def bands(scores: DataFrame, rules: Rules = Rules(), score: str = "bits") -> DataFrame:
+    """(lang, low, high) of a score in bits a symbol, from a histogram in thousandths of the texts that pass the base rules."""
+    fine = scores.filter(~_failed(rules)).select("lang", F.round(F.col(score) * 1000).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n"))
     middle = fine.groupBy("lang").agg(F.expr("percentile(bin, 0.5, n)").alias("mid"), F.sum("n").alias("texts"))
     off = fine.join(middle, "lang").groupBy("lang", "mid", "texts", F.abs(F.col("bin") - F.col("mid")).alias("off")).agg(F.sum("n").alias("n"))
     spread = off.groupBy("lang", "mid", "texts").agg(F.expr("percentile(off, 0.5, n)").alias("mad"))
@@ -447,23 +504,27 @@ def _failed(rules: Rules) -> F.Column:
 
 
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, low, high, kept) for every row of df.
+    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, low, high, across, across_low, across_high, kept) for every row of df.
 
     Null or blank texts have no words, perplexity null and fail the base rules. A null language is a language of its
     own. Repeated rows count as often as they come. Languages with few texts have infinite bands. Empty input: empty
-    result. Only the three named columns are read. Perplexity is 2 to the bits a symbol; low and high bound it.
+    result. Only the three named columns are read. Perplexity is 2 to the bits a symbol
+    inside words; low and high bound it. So do across, across_low and across_high for symbols that follow a blank, given what precedes it.
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("t"))
     path = fresh_path(spark, "ngrams")
     store_model(count_model(rows, rules), path)
     scores = stored(_scored(rows, path, rules.window), "scores")
-    out = scores.join(bands(scores, rules), "lang", "left")
+    over = bands(scores, rules, "across").select("lang", F.col("low").alias("across_low"), F.col("high").alias("across_high"))
+    out = scores.join(bands(scores, rules), "lang", "left").join(over, "lang", "left")
     failed = _failed(rules)
-    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.col("bits").isNotNull())
+    within = lambda x, low, high: F.coalesce(F.col(x).between(F.col(low), F.col(high)), F.col(x).isNotNull())
+    inside = within("bits", "low", "high") & within("across", "across_low", "across_high")
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.pow(F.lit(2.0), "bits").alias("perplexity"),
-        F.pow(F.lit(2.0), "low").alias("low"), F.pow(F.lit(2.0), "high").alias("high"), (~failed & inside).alias("kept"),
+        F.pow(F.lit(2.0), "low").alias("low"), F.pow(F.lit(2.0), "high").alias("high"),
+        *(F.pow(F.lit(2.0), x).alias(x) for x in ("across", "across_low", "across_high")), (~failed & inside).alias("kept"),
     )
 
 

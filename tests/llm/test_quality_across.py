@@ -1,0 +1,85 @@
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from helpers import docs, read
+
+from plansmith.llm import quality
+
+
+def across(texts, rules):
+    """Mean bits of what follows blanks by the definition, with dictionaries."""
+    raw = Counter()
+
+    def found(t):
+        words = [w.decode() for w in (t or "").encode().split()]
+        s = "\x02\x02\x02 " + "".join(w + " " for w in words)
+        at = 4
+        for w in words:
+            yield from (s[i - 4 : i + 1] for i in range(at, at + min(3, len(w) + 1)))
+            at += len(w) + 1
+
+    for t in texts:
+        raw.update(found(t))
+    total, lefts = Counter(), defaultdict(set)
+    for g, c in raw.items():
+        for k in range(1, 6):
+            total[g[-k:]] += c
+            if k > 1:
+                lefts[g[-k + 1 :]].add(g[-k])
+    a = {g: c if len(g) == 5 or g[0] == "\x02" else len(lefts[g]) for g, c in total.items()}
+    d = {}
+    for k in range(1, 6):
+        n = Counter(x for g, x in a.items() if len(g) == k)
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        for i in (1, 2, 3):
+            ok = all(n[j] for j in (1, 2, 3, 4))
+            d[k, i] = max(0.1 * i, min(0.95 * i, i - (i + 1) * y * n[i + 1] / n[i])) if ok else 0.5 * i
+    alls, held, types = Counter(), Counter(), Counter()
+    use = lambda g: total[g] >= rules.min_count or len(g) == 1
+    for g, x in a.items():
+        alls[g[:-1]] += x
+        types[g[:-1]] += 1
+        if use(g):
+            held[g[:-1]] += x - d[len(g), min(x, 3)]
+
+    def p(g):
+        low = 1 / (types[""] + 1) if len(g) == 1 else p(g[1:])
+        h = g[:-1]
+        if h not in alls:
+            return low
+        return ((a[g] - d[len(g), min(a[g], 3)]) / alls[h] if g in a and use(g) else 0) + (1 - held[h] / alls[h]) * low
+
+    def mean(t):
+        bits = [-math.log2(p(g)) for g in found(t)]
+        return sum(bits) / len(bits)
+
+    return mean
+
+
+@pytest.mark.parametrize("shard", [quality.SHARD, 700])
+def test_across_equals_definition(spark, sf, monkeypatch, shard):
+    monkeypatch.setattr(quality, "SHARD", shard)
+    rows = read(spark, sf).collect()[:120]
+    df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality.assess(df).collect()}
+    for lang in {r.lang for r in rows}:
+        mine = [r for r in rows if r.lang == lang]
+        mean = across([r.text for r in mine], quality.Rules())
+        for r in mine[:6]:
+            assert got[r.doc_id].across == pytest.approx(2 ** mean(r.text), rel=1e-5)
+
+
+def test_word_order_counts(spark):
+    """The same words in an order that no other text has: normal inside words, rejected by what runs over blanks."""
+    heads, tails = [a + b for a in "bdgk" for b in "aeio"], [a + b for a in "lmnr" for b in "tsvz"]
+    pairs = list(zip([f"{h}xu" for h in heads], [f"u{t}o" for t in tails], strict=True))
+    rng = random.Random(1)
+    texts = [" ".join(f"{a} {b}" for a, b in rng.sample(pairs, 16)) for _ in range(200)]
+    salad = " ".join(sorted((w for p in pairs for w in p), key=lambda w: w[::-1]))
+    got = {r.doc_id: r for r in quality.assess(docs(spark, [*texts, salad])).collect()}
+    bad = got[len(texts)]
+    assert not bad.base_failed and bad.low <= bad.perplexity <= bad.high
+    assert bad.across > bad.across_high and not bad.kept
+    assert sum(r.kept for r in got.values()) == len(texts)
