@@ -50,7 +50,7 @@ SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 class Rules:
     """below, above: how many times the median deviation from the language's median (taken as at least floor bits) a text may lie off it.
 
-    Languages with fewer than fewest scored texts reject none by perplexity.
+    Languages with fewer than fewest scored texts take the missing share of both from all languages together.
     """
 
     min_words: int = 20
@@ -489,14 +489,18 @@ def _scored(df: DataFrame, path: str, window: int) -> DataFrame:
 def bands(scores: DataFrame, rules: Rules = Rules(), score: str = "bits") -> DataFrame:
     """(lang, low, high) of a score in bits a symbol, from a histogram in thousandths of the texts that pass the base rules."""
     fine = scores.filter(~_failed(rules)).select("lang", F.round(F.col(score) * 1000).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    pooled = _middle(fine.groupBy(F.lit("").alias("lang"), "bin").agg(F.sum("n").alias("n"))).select(F.col("mid").alias("all_mid"), F.col("mad").alias("all_mad"))
+    own = F.least(F.col("texts") / rules.fewest, F.lit(1.0)) if rules.fewest else F.lit(1.0)
+    mix = lambda x: (own * F.col(x) + (1 - own) * F.col(f"all_{x}")) / 1000
+    unit = F.greatest(mix("mad"), F.lit(rules.floor))
+    return _middle(fine).crossJoin(F.broadcast(pooled)).select("lang", (mix("mid") - rules.below * unit).alias("low"), (mix("mid") + rules.above * unit).alias("high"))
+
+
+def _middle(fine: DataFrame) -> DataFrame:
+    """(lang, mid, texts, mad) of a histogram (lang, bin, n): median, count and median deviation."""
     middle = fine.groupBy("lang").agg(F.expr("percentile(bin, 0.5, n)").alias("mid"), F.sum("n").alias("texts"))
     off = fine.join(middle, "lang").groupBy("lang", "mid", "texts", F.abs(F.col("bin") - F.col("mid")).alias("off")).agg(F.sum("n").alias("n"))
-    spread = off.groupBy("lang", "mid", "texts").agg(F.expr("percentile(off, 0.5, n)").alias("mad"))
-    unit = F.greatest(F.col("mad") / 1000, F.lit(rules.floor))
-    few = F.col("texts") < rules.fewest
-    return spread.select(
-        "lang", F.when(few, float("-inf")).otherwise(F.col("mid") / 1000 - rules.below * unit).alias("low"), F.when(few, float("inf")).otherwise(F.col("mid") / 1000 + rules.above * unit).alias("high")
-    )
+    return off.groupBy("lang", "mid", "texts").agg(F.expr("percentile(off, 0.5, n)").alias("mad"))
 
 
 def _failed(rules: Rules) -> F.Column:
@@ -507,7 +511,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, low, high, across, across_low, across_high, kept) for every row of df.
 
     Null or blank texts have no words, perplexity null and fail the base rules. A null language is a language of its
-    own. Repeated rows count as often as they come. Languages with few texts have infinite bands. Empty input: empty
+    own. Repeated rows count as often as they come. Languages with few texts lean on all languages' bands. Empty input: empty
     result. Only the three named columns are read. Perplexity is 2 to the bits a symbol
     inside words; low and high bound it. So do across, across_low and across_high for symbols that follow a blank, given what precedes it.
     """

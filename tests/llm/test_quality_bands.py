@@ -1,0 +1,32 @@
+from statistics import median
+
+import pytest
+
+from plansmith.llm import quality
+
+SCORES = "lang string, n_words bigint, n_repeat_words bigint, bits double"
+
+
+def test_sparse_languages_have_bands(spark):
+    rows = [("en", 50, 0, 2 + i / 100) for i in range(100)] + [("xx", 50, 0, 2.5 + i / 10) for i in range(10)] + [("", 50, 0, 3.0), ("xx", 5, 0, 9.0)]
+    got = {r.lang: (r.low, r.high) for r in quality.bands(spark.createDataFrame(rows, SCORES)).collect()}
+    rules = quality.Rules()
+    scored = [(x, b) for x, n, _, b in rows if n >= rules.min_words]
+
+    def middle(bits):
+        mid = median(bits)
+        return mid, median(abs(b - mid) for b in bits)
+
+    for lang in ("en", "xx", ""):
+        own = [b for x, b in scored if x == lang]
+        share = min(1, len(own) / rules.fewest)
+        mid, mad = (share * a + (1 - share) * b for a, b in zip(middle(own), middle([b for _, b in scored]), strict=True))
+        unit = max(mad, rules.floor)
+        assert got[lang] == pytest.approx((mid - rules.below * unit, mid + rules.above * unit), abs=0.02)
+
+
+def test_rare_language_rejects(spark):
+    """A text far off all others is rejected in a language of its own too."""
+    rows = [("en", 50, 0, 2 + i / 100) for i in range(100)] + [("xx", 50, 0, 40.0)]
+    high = {r.lang: r.high for r in quality.bands(spark.createDataFrame(rows, SCORES)).collect()}["xx"]
+    assert high < 40
