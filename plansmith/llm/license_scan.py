@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from plansmith.llm.common import ascii_lower, table
 
-# Identifiers of sentences of public licence texts and notices, in normal form.
+# Identifiers of sentences of public licence texts and notices, in normal form, as BREAK cuts them.
+_APACHE = ("http www.apache.org licenses license-2.0", "https www.apache.org licenses license-2.0")
+_APACHE_ASIS = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
 SENTENCES = {
     "mit-line": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"],
     "mit-grant": [
@@ -25,22 +27,27 @@ SENTENCES = {
     "mit-liability": [
         "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
     ],
-    "apache-line": ["licensed under the apache license version 2.0", "released under the apache license version 2.0"],
+    "apache-line": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license", "released under the apache license version 2.0"],
     "apache-comply": ["you may not use this file except in compliance with the license"],
-    "apache-asis": [
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
-    ],
+    "apache-obtain": ["you may obtain a copy of the license at", *(f"you may obtain a copy of the license at {u}" for u in _APACHE)],
+    "apache-url": list(_APACHE),
+    "apache-asis": [_APACHE_ASIS, *(f"you may obtain a copy of the license at {u} {_APACHE_ASIS}" for u in _APACHE)],
     "gpl3-line": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
     "gpl2-line": ["licensed under the gnu general public license version 2"],
+    "gpl-free": ["this program is free software"],
     "gpl3-later": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     ],
     "gpl2-later": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     ],
     "gpl-asis": [
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "this program is distributed in the hope that it will be useful but without any warranty",
     ],
+    "gpl-implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "bsd-grant": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
     ],
@@ -51,7 +58,8 @@ SENTENCES = {
     "bsd-asis": [
         "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
     ],
-    "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v. 2.0"],
+    # The cut is behind v.; only version 2.0 speaks of the Source Code Form.
+    "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v", "this source code form is subject to the terms of the mozilla public license v.2.0"],
     "ccbync4-line": ["licensed under cc by-nc 4.0", "this work is licensed under cc by-nc 4.0"],
     "ccby4-line": ["licensed under cc by 4.0", "this work is licensed under cc by 4.0"],
     "ccbysa4-line": ["licensed under cc by-sa 4.0", "this work is licensed under cc by-sa 4.0"],
@@ -61,13 +69,14 @@ SENTENCES = {
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-asis", "mit-liability"]),
     ("MIT-partial", ["mit-grant", "mit-notice"]),
+    ("Apache-2.0", ["apache-line", "apache-comply", "apache-obtain", "apache-url", "apache-asis"]),
+    ("Apache-2.0", ["apache-line", "apache-comply", "apache-obtain", "apache-asis"]),
     ("Apache-2.0", ["apache-line", "apache-comply", "apache-asis"]),
+    ("Apache-2.0", ["apache-line", "apache-comply", "apache-obtain", "apache-url"]),
+    ("Apache-2.0", ["apache-line", "apache-comply", "apache-obtain"]),
     ("Apache-2.0", ["apache-line", "apache-comply"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-asis"]),
-    ("GPL-3.0-or-later", ["gpl3-later", "gpl-asis"]),
-    ("GPL-2.0-or-later", ["gpl2-later", "gpl-asis"]),
-    ("GPL-3.0-or-later", ["gpl3-later"]),
-    ("GPL-2.0-or-later", ["gpl2-later"]),
+    *((f"GPL-{v}.0-or-later", [*free, f"gpl{v}-later", *asis]) for asis in (["gpl-asis", "gpl-implied"], ["gpl-asis"], []) for free in (["gpl-free"], []) for v in (3, 2)),
     ("MIT", ["mit-line"]),
     ("Apache-2.0", ["apache-line"]),
     ("GPL-3.0-only", ["gpl3-line"]),
@@ -81,7 +90,9 @@ RULES = [
 #: Every known sentence holds one of these, so a text without any has none.
 GATES = ["licen", "warrant", "copyright", "permission", "permitted", "free software", "public domain", "merchantability"]
 GATE = "(?i)(" + "|".join(g.replace(" ", r"\s+") for g in GATES) + ")"
-BREAK = r"[.;:!?]+(?:\s+|$)|\n\s*\n"
+#: A bare list number that begins a sentence goes with the cut before it.
+_ITEM = r"(?:[*#/]*\s*\(?\d{1,2}[.)]\s+)?"
+BREAK = rf"[.;:!?]+(?:\s+{_ITEM}|$)|\n\s*\n\s*{_ITEM}"
 
 _ID = {s: name for name, group in SENTENCES.items() for s in group}
 assert all(any(g in s for g in GATES) for s in _ID), "a known sentence passes no gate"
