@@ -27,18 +27,21 @@ class Rule:
     min_chars: int = 0
 
 
+#: A private key goes up to its END line, past headers with single hyphens; without one, to the end of its base64 lines.
+_KEY = "[A-Z ]{0,40}PRIVATE KEY-----"
+_LINES = r"[\x20\t]*\r?\n[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=\r\n]*(?:\n|\z)"
 #: Kinds in the order in which spans with the same start are listed.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", group=2, min_chars=8),
     Rule("access", r"AKIA[A-Z0-9]{12,}", "AKIA"),
     Rule("hex", r"[0-9a-f]{32,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN {_KEY}(?:[^-]*(?:-{{1,4}}[^-]+){{0,12}}-----END {_KEY}|{_LINES})?", "PRIVATE KEY-----"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", "gh"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
 )
 BASE = ("assign", "access", "hex")
 #: Goes up with every change of RULES, so that stored blobs are scanned again.
-RULE_VERSION = 1
+RULE_VERSION = 3
 LEDGER = "blob string, rule_version int, spans array<struct<start:int,kind:int,end:int>>"
 
 
