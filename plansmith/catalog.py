@@ -179,7 +179,7 @@ s AS (SELECT doc_id, n, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id
 SELECT doc_id, section, count(*) AS lines, CAST(sum(n) AS BIGINT) AS chars FROM s GROUP BY ALL""")
 def card_line_sections(spark, sf_dir):
     lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    head = F.last(F.when(F.col("i") % 3 == 0, F.left("line", F.lit(12))), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("i"))
+    head = F.last(F.when(F.col("i") % 3 == 0, F.col("line")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("i"))
     return lines.withColumn("section", head).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).cast("bigint").alias("chars"))
 
 
