@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Set to a temporary folder only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder on a local master; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -33,12 +37,45 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settled(spark: SparkSession) -> Iterator[None]:
+    """Inside, inputs are cut into the same partitions each time they are read, however many executors are left, and a finished job's shuffle files go at once."""
+    keep = {
+        "spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism),
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in keep}
+    for k, v in keep.items():
+        if k.startswith("spark.sql.classic") or before[k] is None:
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: a cut in the lineage that outlives any executor."""
+    """df as a Parquet table in the shared folder: a cut in the lineage that outlives any executor. discard() removes it."""
     spark = df.sparkSession
     path = fresh_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settled(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that stored() made and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            remove(t.sparkSession, path)
 
 
 def ascii_lower(c: Column) -> Column:

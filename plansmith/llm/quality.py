@@ -1,423 +1,427 @@
 """Quality rules: language-specific bands of n-gram perplexity, beside a few rules on repetition and length.
 
-There are two modified Kneser-Ney models of symbols (order 5) for each language: one of the symbols inside words, with
-marks at both ends, and one of the n-grams that run over the blank between words. Spark counts them over all
-documents: tasks count each document's distinct words, and all windows about blanks, break them into n-grams, and
-everything after that is joins and aggregations of n-gram rows. Discounted probabilities and back-off weights
-are written as arrays sorted by n-gram hash, in shards by hash range; scoring tasks hold a bounded number of shards
-and look words and windows up in them, each distinct one once. Each score has its language bands; they come from a histogram of all documents'
-scores.
+The model of each language is a modified Kneser-Ney bigram model of words, counted over every occurrence in all
+documents. A word counts as unseen where it stands: its own occurrence is left out of the counts that score it, so a
+document's perplexity tells how well the other occurrences foresee it. N-grams seen once then weigh nothing, and the
+stored model holds those of two and more without any loss.
+
+Tasks cut their documents into blocks and sort each block's distinct n-grams; only these sorted lists are shuffled, to
+slices of the n-gram space. A slice merges its lists into one sorted hash array with counts, stores it, and answers
+each block with the counts of its n-grams; in the same way slices of the vocabulary add up what belongs to a word and
+answer the blocks' words. So every n-gram is looked up where its array lies, no scoring task reads the model,
+and texts never move. Bands come from a histogram of all documents' scores.
 """
 
 from __future__ import annotations
 
-import io
-from collections import Counter, OrderedDict, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from plansmith.llm.common import fresh_path, stored, table
+from plansmith.llm.common import fresh_path, remove, settled, stored, table
 from plansmith.llm.shingles import mix64, windows
 from plansmith.llm.token_files import _filesystem
 from plansmith.session import ship
 
-BEGIN, END = "\x02", "\x03"
-ORDER = 5
-#: Before a language's name: its model inside words, and the one over blanks.
-WITHIN, ACROSS = "w", "a"
-#: Symbols of a window before its blank; as many follow it.
-SIDE = ORDER - 2
-#: Entries of a shard (16 bytes each), aimed at.
-SHARD = 1_000_000
-#: Bytes of shards that a worker keeps.
-HELD = 96 << 20
-#: Words, and bytes of words, that a worker remembers with their scores.
-CACHED_WORDS, CACHED_BYTES = 500_000, 64 << 20
-#: Windows that a worker remembers with their scores.
-CACHED_WINDOWS = 200_000
-#: Characters of texts whose new words are scored together.
-TOGETHER = 2 << 20
+#: Words of a block: its n-grams are sorted and answered together.
+BLOCK = 4_000_000
+#: Characters of all texts for each slice of the n-gram space, so that a slice stays small however much there is.
+SLICE = 16_000_000
+#: Characters of texts whose words are hashed together.
+TOGETHER = 1 << 20
+#: Words that a worker remembers with their hashes.
+CACHED_WORDS = 500_000
+#: Bands of up to so many languages are broadcast; more meet by shuffle.
+FEW_LANGUAGES = 10_000
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """below, above: how many times the median deviation from the language's median (taken as at least floor bits) a text may lie off it.
+    """Scores are mean bits a word. A text is kept from below times its language's median score up to the median plus above times (upper quartile - median, floor bits at least).
 
-    Languages with fewer than fewest scored texts take the missing share of both from all languages together.
+    A language's own median and quartile weigh texts / (texts + lean), those of all languages together the rest.
     """
 
     min_words: int = 20
     repeat_percent: int = 30
     window: int = 8
-    min_count: int = 2
-    below: float = 10.0
-    above: float = 10.0
+    below: float = 0.1
+    above: float = 5.0
     floor: float = 0.05
-    fewest: int = 50
+    lean: int = 20
 
 
-# ---- counting ----
+# ---- words and blocks ----
 
+_HASHES: dict[bytes, int] = {}
 
-def broken(word: str) -> list[str]:
-    """The longest n-gram that ends at each symbol of a word and at its end."""
-    s = BEGIN + word + END
-    return [s[:k] for k in range(2, min(len(s), ORDER - 1) + 1)] + [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
 
+def _hashed(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """64-bit hashes of each text's words."""
+    if len(_HASHES) > CACHED_WORDS:
+        _HASHES.clear()
+    every = [w for t in texts for w in t]
+    new = {w: xxh3_64_intdigest(w) for w in set(every).difference(_HASHES)}
+    found = _HASHES | new if len(new) > CACHED_WORDS else _HASHES
+    _HASHES.update(new if found is _HASHES else ())
+    flat = np.fromiter(map(found.__getitem__, every), np.uint64, len(every))
+    return np.split(flat, np.cumsum([len(t) for t in texts])[:-1]) if texts else []
 
-def about_blanks(words: list[bytes]) -> tuple[list[str], int]:
-    """A window for each word: the three symbols before it (of the words before, or BEGIN), a blank and what follows up to three symbols; and how many symbols they score."""
-    if not words:
-        return [], 0
-    text = BEGIN * SIDE + " " + b" ".join(words).decode() + " "
-    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
-    return [text[i : i + ORDER + 2] for i in (blanks[:-1] - SIDE).tolist()], int(np.minimum(np.diff(blanks), SIDE).sum())
 
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """For each word, 32 bits of the word before it (0 at the beginning) and 32 of its own."""
+    own = hashes >> np.uint64(32)
+    return np.concatenate([np.zeros(1, np.uint64), own[:-1]])[: len(own)] << np.uint64(32) | own
 
-def cut(window: str) -> str:
-    """A window up to the blank that ends its word."""
-    end = window.find(" ", SIDE + 1)
-    return window if end < 0 else window[: end + 1]
 
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[list[tuple], list[str]]]:
+    """Some rows without their text, and the texts."""
+    for b in batches:
+        others = [b.column(i).to_pylist() for i in range(b.num_columns) if i != text]
+        rows, texts, size = [], [], 0
+        for row, t in zip(zip(*others, strict=True), b.column(text), strict=True):
+            rows.append(row), texts.append(t.as_py() or "")
+            size += len(texts[-1]) + 256
+            if size > TOGETHER:
+                yield rows, texts
+                rows, texts, size = [], [], 0
+        if rows:
+            yield rows, texts
 
-def _counted(df: DataFrame) -> DataFrame:
-    """(lang, gram, n): a row for each model, n-gram and task, or several; n counts the documents' distinct words, and all windows."""
-    ship(df.sparkSession)
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int, rules: Rules | None = None) -> Iterator[list[tuple]]:
+    """Lists of (lang, n-grams, other columns, base counts if there are rules) of about most words. Columns: lang, text, others."""
+    docs, n = [], 0
+    for rows, texts in _parts(batches, 1):
+        for (lang, *rest), text, hashes in zip(rows, texts, _hashed([t.encode().split() for t in texts]), strict=True):
+            docs.append((lang, bigrams(hashes), rest, rules and (len(hashes), *base_counts(text), repeated_words(hashes, rules.window))))
+            n += len(hashes)
+            if n >= most:
+                yield docs
+                docs, n = [], 0
+    if docs:
+        yield docs
+
+
+# ---- sorted arrays as bytes ----
+
+
+def _zip(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def ints(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, compressed."""
+    x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + _zip(x)
+
+
+def unints(b: bytes) -> np.ndarray:
+    size, n = b[0], int.from_bytes(b[1:9], "little")
+    return np.frombuffer(pa.decompress(b[9:], n * size, codec="zstd", asbytes=True), f"<u{size}").astype(np.int64)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Sorted distinct uint64: their low bytes as they are, the distances of what is above them compressed."""
+    low = 0 if not len(x) else min(7, max(0, (int(x[-1]) // len(x)).bit_length() // 8))
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :low]).tobytes()
+    return bytes([low]) + len(x).to_bytes(8, "little") + raw + ints(np.diff(x >> np.uint64(8 * low), prepend=np.uint64(0)))
+
+
+def unpack(b: bytes) -> np.ndarray:
+    low, n = b[0], int.from_bytes(b[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :low] = np.frombuffer(b, np.uint8, n * low, 9).reshape(n, low)
+    return out.view(np.uint64).reshape(n) | np.cumsum(unints(b[9 + n * low :])).astype(np.uint64) << np.uint64(8 * low)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Slices of n-grams by near bits of each of both words and then extra bits of both together, so that neither a frequent word nor a frequent pair fills one; slices of words by wide bits. A slice's members agree in the near bits, which aren't stored. block: words of a block."""
+
+    near: int
+    extra: int
+    wide: int
+    block: int = BLOCK
+
+    @classmethod
+    def of(cls, chars: int) -> "Grid":
+        bits = max(0, -(-chars // SLICE) - 1).bit_length()
+        near = min(4, (bits + 1) // 2)
+        return cls(near, max(0, bits - 8), bits // 2 + 1, BLOCK)
+
+    def slices(self, grams: np.ndarray) -> np.ndarray:
+        mask, near = np.uint64((1 << self.near) - 1), np.uint64(self.near)
+        at = (grams >> np.uint64(32) & mask) << near | grams & mask
+        if self.extra:
+            at = at << np.uint64(self.extra) | mix64(grams) >> np.uint64(64 - self.extra)
+        return at.astype(np.int64)
+
+    def word_slices(self, words: np.ndarray) -> np.ndarray:
+        return (words & np.uint64((1 << self.wide) - 1)).astype(np.int64)
+
+    def pack(self, grams: np.ndarray) -> bytes:
+        near = np.uint64(self.near)
+        return pack(grams >> np.uint64(32) + near << np.uint64(32 - self.near) | (grams & np.uint64(0xFFFFFFFF)) >> near)
+
+    def unpack(self, b: bytes, at: int) -> np.ndarray:
+        x, near, part = unpack(b), np.uint64(self.near), at >> self.extra
+        u = x >> np.uint64(32 - self.near) << near | np.uint64(part >> self.near)
+        v = (x & np.uint64((1 << 32 - self.near) - 1)) << near | np.uint64(part & (1 << self.near) - 1)
+        return u << np.uint64(32) | v
+
+    def pack_words(self, words: np.ndarray) -> bytes:
+        return pack(words >> np.uint64(self.wide))
+
+    def unpack_words(self, b: bytes, at: int) -> np.ndarray:
+        return unpack(b) << np.uint64(self.wide) | np.uint64(at)
+
+
+def _groups(at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, ascending places) of each value."""
+    order = np.argsort(at, kind="stable")
+    edge = np.flatnonzero(np.diff(at[order])) + 1
+    for part in np.split(order, edge) if len(order) else ():
+        yield int(at[part[0]]), part
+
+
+def block_name(grams: np.ndarray) -> int:
+    """A block goes by what it asks for."""
+    return int(np.array([xxh3_64_intdigest(np.ascontiguousarray(grams))], np.uint64).view(np.int64)[0])
+
+
+def _vocabulary(grams: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([grams >> np.uint64(32), grams & np.uint64(0xFFFFFFFF)]))
+
+
+# ---- counting and looking up ----
+
+ROWS = "kind string, slot bigint, lang string, block bigint, a binary, b binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()
+    names = [x.split()[0] for x in ROWS.split(", ")]
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
+
+
+def asked(df: DataFrame, grid: Grid) -> DataFrame:
+    """df (lang, t) to lists of distinct n-grams with counts ('grams') and of distinct words ('asked'), one for each block, language and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
-        joints: dict[str, Counter] = defaultdict(Counter)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, found in words.items():
-                grams: Counter = Counter()
-                once, rest = [], []
-                for w, c in found.items():
-                    (once if c == 1 else rest).append((w, c))
-                for at in range(0, len(once), 20_000):
-                    grams.update([g for w, _ in once[at : at + 20_000] for g in broken(w.decode())])
-                    if len(grams) > 500_000:
-                        yield _grams(WITHIN + lang, grams)
-                        grams.clear()
-                for w, c in rest:
-                    for g in broken(w.decode()):
-                        grams[g] += c
-                if grams:
-                    yield _grams(WITHIN + lang, grams)
-            words.clear()
-            for lang, found in joints.items():
-                grams = Counter()
-                for w, c in found.items():
-                    w = cut(w)
-                    for i in range(len(w) - ORDER + 1):
-                        grams[w[i : i + ORDER]] += c
-                yield _grams(ACROSS + lang, grams)
-            joints.clear()
-
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = (text.as_py() or "").encode().split()
-                words[lang].update(set(found))
-                joints[lang].update(about_blanks(found)[0])
-            if sum(map(len, words.values())) + sum(map(len, joints.values())) > 500_000:
-                yield from flush()
-        yield from flush()
-
-    return df.select("lang", "t").mapInArrow(run, "lang string, gram string, n bigint")
-
-
-def _grams(lang: str, grams: dict[str, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
-
-
-def count_model(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """df (lang, t) to (lang, gram, alpha, gamma), lang with WITHIN or ACROSS before it: alpha the discounted probability of the last symbol after the others, gamma the weight of shorter contexts after gram.
-
-    Lower orders count distinct left neighbours, but n-grams that begin a word occurrences. Discounts come from the
-    counts of counts of the language and order; n-grams with fewer than min_count occurrences are then left out,
-    with their share going to gamma. The empty n-gram has alpha 1 / (number of symbols + 1).
+        for docs in blocks(batches, grid.block):
+            by: dict[str, list] = {}
+            for lang, found, _, _ in docs:
+                by.setdefault(lang, []).append(found)
+            for lang, found in by.items():
+                grams, counts = np.unique(np.concatenate(found), return_counts=True)
+                if not len(grams):
+                    continue
+                name, words = block_name(grams), _vocabulary(grams)
+                rows = [("grams", at, lang, name, grid.pack(grams[i]), ints(counts[i])) for at, i in _groups(grid.slices(grams))]
+                rows += [("asked", at, lang, name, grid.pack_words(words[i]), None) for at, i in _groups(grid.word_slices(words))]
+                yield from _table(rows).to_batches()
+
+    return df.select("lang", "t").mapInArrow(run, ROWS)
+
+
+def _merged(rows: list[dict], unpacked: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct members of all lists, and where each list's members are among them."""
+    every, place = np.unique(np.concatenate(unpacked), return_inverse=True)
+    return every, np.split(place, np.cumsum([len(x) for x in unpacked])[:-1])
+
+
+def _by_language(found: pa.Table) -> Iterator[tuple[str, list[dict]]]:
+    by: dict[str, list[dict]] = {}
+    for row in found.to_pylist():
+        by.setdefault(row["lang"], []).append(row)
+    yield from by.items()
+
+
+def count_grams(rows: DataFrame, grid: Grid) -> DataFrame:
+    """Slices of asked() to: 'model' (sorted n-grams seen twice or more, counts), 'found' (counts in the order of a block's list), 'context' and 'left' (partial facts of words), 'sizes' (n-grams seen once to four times, and all). 'asked' goes through."""
+
+    def run(found: pa.Table) -> pa.Table:
+        out = []
+        for lang, lists in _by_language(found):
+            if lists[0]["kind"] == "asked":
+                out += [tuple(x.values()) for x in lists]
+                continue
+            at = lists[0]["slot"]
+            grams, places = _merged(lists, [grid.unpack(x["a"], at) for x in lists])
+            total = np.bincount(np.concatenate(places), np.concatenate([unints(x["b"]) for x in lists])).astype(np.int64)
+            out += [("found", at, lang, x["block"], None, ints(total[i])) for x, i in zip(lists, places, strict=True)]
+            again = total > 1
+            out.append(("model", at, lang, None, grid.pack(grams[again]), ints(total[again])))
+            first = grams >> np.uint64(32)
+            start = np.flatnonzero(np.diff(first, prepend=first[0] + np.uint64(1)))
+            facts = np.stack([np.add.reduceat(x, start) for x in (total, total == 1, total == 2, total > 2)]).astype(np.int64)
+            for w, i in _groups(grid.word_slices(first[start])):
+                out.append(("context", w, lang, None, grid.pack_words(first[start][i]), ints(facts[:, i].ravel())))
+            words, left = np.unique(grams & np.uint64(0xFFFFFFFF), return_counts=True)
+            for w, i in _groups(grid.word_slices(words)):
+                out.append(("left", w, lang, None, grid.pack_words(words[i]), ints(left[i])))
+            out.append(("sizes", at, lang, None, None, ints(_sizes(total))))
+        return _table(out)
+
+    part = F.when(F.col("kind") == "grams", F.col("slot")).otherwise(-1 - F.col("slot"))
+    return rows.groupBy(part).applyInArrow(run, ROWS)
+
+
+def _sizes(counts: np.ndarray) -> np.ndarray:
+    """How many are 1, 2, 3 and 4, and how many there are."""
+    return np.append(np.bincount(np.minimum(counts, 5), minlength=6)[1:5], len(counts))
+
+
+def count_words(rows: DataFrame, grid: Grid) -> DataFrame:
+    """'asked', 'context' and 'left' of a slice of words to: 'words' (sorted words and their facts), 'known' (facts in the order of a block's words), 'sizes' (words with one to four left neighbours, and all).
+
+    Facts: occurrences as a context, followers seen once, twice and more often, and left neighbours.
     """
-    raw = _counted(df).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    lengths = F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k")
-    every = raw.select("lang", "gram", "n", lengths).select("lang", "k", F.expr("right(gram, k)").alias("gram"), "n")
-    total = stored(every.groupBy("lang", "gram", "k").agg(F.sum("n").alias("total")), "grams")
-    left = total.filter("k > 1").groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("left"))
-    whole = (F.col("k") == ORDER) | F.col("gram").startswith(BEGIN)
-    grams = stored(total.join(left, ["lang", "gram"], "left").select("lang", "gram", "k", "total", F.when(whole, F.col("total")).otherwise(F.coalesce("left", F.lit(1))).alias("a")), "grams")
-    of = lambda i: F.count_if(F.col("a") == i).cast("double").alias(f"n{i}")
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-    def discount(i: int) -> F.Column:
-        d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.when(F.col(f"n{i}") > 0, F.col(f"n{i}"))
-        return F.when(enough, F.greatest(F.lit(0.1 * i), F.least(d, F.lit(0.95 * i)))).otherwise(0.5 * i).alias(f"d{i}")
-
-    discounts = grams.groupBy("lang", "k").agg(*map(of, (1, 2, 3, 4))).select("lang", "k", *map(discount, (1, 2, 3)))
-    kept = (F.col("total") >= rules.min_count) | (F.col("k") == 1)
-    seen = grams.withColumn("kept", kept).withColumn("context", F.expr("left(gram, k - 1)"))
-    part = lambda i: F.count_if(F.col("kept") & ((F.col("a") == i) if i < 3 else (F.col("a") >= 3))).alias(f"m{i}")
-    contexts = seen.groupBy("lang", "context", "k").agg(F.sum("a").alias("all"), F.sum(F.when(F.col("kept"), F.col("a")).otherwise(0)).alias("held"), F.count("*").alias("types"), *map(part, (1, 2, 3)))
-    contexts = contexts.join(discounts, ["lang", "k"]).withColumn(
-        "gamma", 1 - (F.col("held") - F.col("m1") * F.col("d1") - F.col("m2") * F.col("d2") - F.col("m3") * F.col("d3")) / F.col("all")
-    )
-    contexts = stored(contexts.select("lang", "context", "k", "all", "types", "d1", "d2", "d3", "gamma"), "contexts")
-    d = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-    alphas = seen.filter("kept").join(contexts.drop("k", "gamma", "types"), ["lang", "context"]).select("lang", "gram", ((F.col("a") - d) / F.col("all")).alias("alpha"))
-    empty = contexts.filter("k = 1").select("lang", F.lit("").alias("gram"), (1 / (F.col("types") + 1)).alias("alpha"))
-    gammas = contexts.select("lang", F.col("context").alias("gram"), "gamma")
-    both = alphas.unionByName(empty).join(gammas, ["lang", "gram"], "full")
-    return both.select("lang", "gram", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
-
-
-# ---- sorted hash arrays ----
-
-
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-
-
-_P = [pow(0x9E3779B97F4A7C15, j, 2**64) for j in range(ORDER + 1)]
-
-
-def _hash(poly: np.ndarray, k: int | np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(poly + np.asarray(k).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def gram_hashes(grams: list[str]) -> np.ndarray:
-    """Codes times powers, the last symbol's being 0, and the length."""
-    lengths = np.fromiter(map(len, grams), np.int64, len(grams))
-    codes, ends = _codes("".join(grams)), np.cumsum(lengths)
-    poly = np.zeros(len(grams), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(int(lengths.max(initial=0))):
-            ok = np.flatnonzero(lengths > j)
-            poly[ok] += codes[ends[ok] - 1 - j] * np.uint64(_P[j])
-    return _hash(poly, lengths)
-
-
-def _folder(lang: str) -> str:
-    return f"lang-{lang.encode().hex()}"
-
-
-def store_model(model: DataFrame, path: str) -> None:
-    """One file of sorted hashes, alphas and gammas for each language and range of hashes: path/lang-<hex>/<shard>.npz."""
-    spark = model.sparkSession
-    rows = stored(model, "model")
-    shards = 1 << max(0, -(-rows.count() // SHARD) - 1).bit_length()
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = gram_hashes(b.column(1).to_pylist())
-            shard = (h >> np.uint64(44)).astype(np.int64) * shards >> 20
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard, pa.int64()), pa.array(h.view(np.int64)), b.column(2), b.column(3)], ["lang", "shard", "h", "alpha", "gamma"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _filesystem(path)
-
-        def put(key: tuple, parts: list) -> None:
-            h, alpha, gamma = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h.view(np.uint64))
-            out = io.BytesIO()
-            np.savez(out, h=h.view(np.uint64)[order], alpha=alpha[order].astype("f4"), gamma=gamma[order].astype("f4"))
-            folder = f"{at}/{_folder(key[0])}"
-            fs.create_dir(folder, recursive=True)
-            name = f"{folder}/{key[1]}.npz"
-            import uuid
-
-            with fs.open_output_stream(temporary := f"{name}.{uuid.uuid4().hex}") as f:
-                f.write(out.getvalue())
-            fs.move(temporary, name)
-
-        now, parts, n = None, [], 0
-        for b in batches:
-            langs, numbers = b.column(0).to_pylist(), b.column(1).to_numpy()
-            edges = [0, *(i for i in range(1, b.num_rows) if (langs[i], numbers[i]) != (langs[i - 1], numbers[i - 1])), b.num_rows]
-            for i, j in zip(edges, edges[1:]):
-                if i < j:
-                    if (langs[i], int(numbers[i])) != now and parts:
-                        put(now, parts)
-                        parts, n = [], n + 1
-                    now = (langs[i], int(numbers[i]))
-                    parts.append([b.column(c).to_numpy()[i:j] for c in (2, 3, 4)])
-        if parts:
-            put(now, parts)
-            n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    out = rows.select("lang", "gram", "alpha", "gamma").mapInArrow(hashed, "lang string, shard bigint, h bigint, alpha double, gamma double")
-    out.repartition("lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
-    fs, at = _filesystem(path)
-    fs.create_dir(at, recursive=True)
-    with fs.open_output_stream(f"{at}/shards") as f:
-        f.write(str(shards).encode())
-
-
-class Entries:
-    """A shard's arrays. The leading bits of a hash, behind those all of the shard share, give where in the sorted array to look."""
-
-    def __init__(self, h: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, shared: int) -> None:
-        self.h, self.alpha, self.gamma, self.shared = h, alpha, gamma, np.uint64(shared)
-        bits = max(1, len(h).bit_length())
-        self.drop = np.uint64(64 - bits)
-        self.starts = np.searchsorted((h << self.shared) >> self.drop, np.arange((1 << bits) + 1, dtype=np.uint64))
-        self.bytes = h.nbytes + alpha.nbytes + gamma.nbytes + self.starts.nbytes
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Places of hashes, -1 for those that aren't there."""
-        out = np.full(len(wanted), -1)
-        lead = ((wanted << self.shared) >> self.drop).astype(np.int64)
-        at, end = self.starts[lead], self.starts[lead + 1]
-        todo = np.flatnonzero(at < end)
-        at, end = at[todo], end[todo]
-        while len(todo):
-            same = self.h[at] == wanted[todo]
-            out[todo[same]] = at[same]
-            at += 1
-            more = ~same & (at < end)
-            todo, at, end = todo[more], at[more], end[more]
-        return out
-
-
-class Model:
-    """The stored arrays of all languages; shards are read when they are first looked into and at most HELD bytes stay."""
-
-    def __init__(self, path: str) -> None:
+
+    def run(found: pa.Table) -> pa.Table:
+        out = []
+        for lang, lists in _by_language(found):
+            at = lists[0]["slot"]
+            words, places = _merged(lists, [grid.unpack_words(x["a"], at) for x in lists])
+            facts = np.zeros((5, len(words)), np.int64)
+            for x, i in zip(lists, places, strict=True):
+                if x["kind"] == "context":
+                    facts[:4, i] += unints(x["b"]).reshape(4, -1)
+                elif x["kind"] == "left":
+                    facts[4, i] += unints(x["b"])
+            out.append(("words", at, lang, None, grid.pack_words(words), ints(facts.ravel())))
+            out += [("known", at, lang, x["block"], None, b"".join(map(_sized, facts[:, i]))) for x, i in zip(lists, places, strict=True) if x["kind"] == "asked"]
+            out.append(("sizes", at, lang, None, None, ints(_sizes(facts[4][facts[4] > 0]))))
+        return _table(out)
+
+    return rows.groupBy("slot").applyInArrow(run, ROWS)
+
+
+def _sized(x: np.ndarray) -> bytes:
+    b = ints(x)
+    return len(b).to_bytes(4, "little") + b
+
+
+def _unsized(b: bytes) -> np.ndarray:
+    out = []
+    while b:
+        n = int.from_bytes(b[:4], "little")
+        out.append(unints(b[4 : 4 + n]))
+        b = b[4 + n :]
+    return np.stack(out)
+
+
+# ---- the model ----
+
+
+def discounts(sizes: np.ndarray) -> np.ndarray:
+    """What is taken off counts 0, 1, 2 and 3 or more, from how many n-grams there are of counts 1 to 4."""
+    n = [0.0, *sizes[:4].tolist()]
+    if not all(n[1:]):
+        return np.array([0, 0.5, 1.0, 1.5])
+    y = n[1] / (n[1] + 2 * n[2])
+    return np.array([0] + [max(0.1 * i, min(0.95 * i, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3)])
+
+
+@dataclass(frozen=True)
+class Language:
+    """sizes of its n-grams by occurrences, and of its words by left neighbours."""
+
+    grams: np.ndarray
+    words: np.ndarray
+
+    def bits(self, count: np.ndarray, context: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """-log2 of the probability of an occurrence of each n-gram with that occurrence left out of all counts. context: rows of facts of the word before."""
+        high, low = discounts(self.grams), discounts(self.words)
+        cut = lambda d, x: d[np.minimum(x, 3)]
+        once = (count == 1).astype(np.int64)
+        types, vocabulary = self.grams[4] - once, self.words[4] + 1
+        spare = low[1] * self.words[0] + low[2] * self.words[1] + low[3] * (self.words[4] - self.words[0] - self.words[1])
+        a = left - once
+        n = np.maximum(types, 1)
+        short = np.where(types > 0, (a - cut(low, a)) / n + (spare - cut(low, left) + cut(low, a)) / n / vocabulary, 1 / vocabulary)
+        c, every = count - 1, context[0] - 1
+        free = high[1] * context[1] + high[2] * context[2] + high[3] * context[3] - cut(high, count) + cut(high, c)
+        n = np.maximum(every, 1)
+        return -np.log2(np.where(every > 0, (c - cut(high, c)) / n + free / n * short, short))
+
+
+class Answers:
+    """Counts and facts for a block's n-grams and words: from the block's own file, or, where the input was cut otherwise when it was counted, from the model's arrays."""
+
+    def __init__(self, path: str, grid: Grid) -> None:
         self.fs, self.at = _filesystem(path)
-        with self.fs.open_input_file(f"{self.at}/shards") as f:
-            self.shards = int(f.read())
-        self.held: OrderedDict[tuple, Entries | None] = OrderedDict()
-        self.bytes = 0
-
-    def _shard(self, lang: str, n: int) -> Entries | None:
-        key = lang, n
-        if key in self.held:
-            self.held.move_to_end(key)
-            return self.held[key]
-        try:
-            with self.fs.open_input_file(f"{self.at}/{_folder(lang)}/{n}.npz") as f:
-                x = np.load(io.BytesIO(f.read()))
-                got = Entries(x["h"], x["alpha"], x["gamma"], self.shards.bit_length() - 1)
-        except FileNotFoundError:
-            got = None
-        self.held[key] = got
-        self.bytes += got.bytes if got else 0
-        while self.bytes > HELD and len(self.held) > 1:
-            gone = self.held.popitem(last=False)[1]
-            self.bytes -= gone.bytes if gone else 0
-        return got
-
-    def look(self, lang: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        alpha, gamma = np.zeros(len(h)), np.ones(len(h))
-        shard = (h >> np.uint64(44)).astype(np.int64) * self.shards >> 20
-        for n in range(self.shards):
-            mine = slice(None) if self.shards == 1 else np.flatnonzero(shard == n)
-            wanted = h[mine]
-            if len(wanted) and (got := self._shard(lang, n)) is not None:
-                at = got.find(wanted)
-                alpha[mine], gamma[mine] = np.where(at >= 0, got.alpha[at], 0.0), np.where(at >= 0, got.gamma[at], 1.0)
-        return alpha, gamma
-
-    def word_bits(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """-log2 of each word's probability, its end included."""
-        return self._bits(WITHIN + lang, [BEGIN + w.decode() + END for w in words], 1)
-
-    def joint_bits(self, lang: str, found: list[str]) -> np.ndarray:
-        """-log2 of the probability of what follows the blank of each window."""
-        return self._bits(ACROSS + lang, list(map(cut, found)), SIDE + 1)
-
-    def _bits(self, lang: str, texts: list[str], first: int) -> np.ndarray:
-        """-log2 of the probability of each text's symbols from place first on."""
-        codes, lengths = _codes("".join(texts)), np.array([len(t) for t in texts])
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        none = gram_hashes([""])
-        (unseen,), (rest,) = self.look(lang, none)
-        p = np.full(len(codes), (unseen or 2.0**-16) * rest)
-        before = None
-        poly = np.zeros(len(codes), np.uint64)
-        for k in range(1, ORDER + 1):
-            with np.errstate(over="ignore"):
-                poly[k - 1 :] += codes[: len(codes) - k + 1] * np.uint64(_P[k - 1])
-            ok = np.flatnonzero(place >= max(k, first) - 1)
-            a, g = self.look(lang, _hash(poly[ok], k))
-            if k == 1:
-                p[ok] += a
-            else:
-                p[ok] = a + before[ok - 1] * p[ok]
-            before = np.ones(len(codes))
-            before[ok] = g
-        bits = np.where(place >= first, -np.log2(np.maximum(p, 2.0**-60)), 0.0)
-        return np.add.reduceat(bits, np.cumsum(lengths) - lengths)
-
-
-class Known:
-    """Words of a language with their hashes and scores."""
-
-    def __init__(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.hashes, self.bits = np.empty(1024, np.uint64), np.empty(1024)
-
-    def learn(self, words: list[bytes], bits: np.ndarray) -> int:
-        at, need = len(self.index), len(self.index) + len(words)
-        if need > len(self.hashes):
-            self.hashes, self.bits = np.resize(self.hashes, 2 * need), np.resize(self.bits, 2 * need)
-        self.hashes[at:need] = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-        self.bits[at:need] = bits
-        self.index.update(zip(words, range(at, need), strict=True))
-        return sum(map(len, words))
-
-
-class Scorer:
-    """Word hashes and mean bits of texts, new words of some texts at a time."""
-
-    def __init__(self, path: str) -> None:
-        self.model = Model(path)
-        self.known: dict[str, Known] = defaultdict(Known)
-        self.bytes = 0
-        self.joints: dict[str, dict[str, float]] = defaultdict(dict)
-
-    def across(self, langs: list[str], texts: list[list[bytes]]) -> list[float | None]:
-        """Mean bits of the symbols that each text's windows score."""
-        if sum(map(len, self.joints.values())) > CACHED_WINDOWS:
-            self.joints.clear()
-        all_found = list(map(about_blanks, texts))
-        fresh: dict[str, set[str]] = defaultdict(set)
-        for lang, (found, _) in zip(langs, all_found, strict=True):
-            fresh[lang].update(found)
-        for lang, found in fresh.items():
-            new = list(found.difference(self.joints[lang]))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                self.joints[lang].update(zip(part, self.model.joint_bits(lang, part).tolist(), strict=True))
-        return [sum(map(self.joints[lang].__getitem__, found)) / n if n else None for lang, (found, n) in zip(langs, all_found, strict=True)]
-
-    def many(self, langs: list[str], texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, float]]:
-        """(hashes, bits of all) of each text's words."""
-        if self.bytes > CACHED_BYTES or sum(len(k.index) for k in self.known.values()) > CACHED_WORDS:
-            self.known.clear()
-            self.bytes = 0
-        fresh: dict[str, set[bytes]] = defaultdict(set)
-        for lang, words in zip(langs, texts, strict=True):
-            fresh[lang].update(words)
-        for lang, words in fresh.items():
-            known = self.known[lang]
-            new = list(words.difference(known.index))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                self.bytes += known.learn(part, self.model.word_bits(lang, part))
-        for lang, words in zip(langs, texts, strict=True):
-            known = self.known[lang]
-            at = np.fromiter(map(known.index.__getitem__, words), np.int64, len(words))
-            yield known.hashes[at], float(known.bits[at].sum())
-
-
-_SCORERS: dict[str, Scorer] = {}
+        self.grid = grid
+
+    def _files(self, folder: str) -> list[str]:
+        found = self.fs.get_file_info(pafs.FileSelector(f"{self.at}/{folder}", allow_not_found=True))
+        return sorted(x.path for x in found if x.base_name.endswith(".parquet"))
+
+    def _rows(self, folder: str, lang: str) -> Iterator[dict]:
+        for name in self._files(folder):
+            with self.fs.open_input_file(name) as f:
+                for b in pq.ParquetFile(f).iter_batches(batch_size=16):
+                    yield from (x for x in b.to_pylist() if x["lang"] == lang)
+
+    def of(self, lang: str, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of grams, the words in them, and the words' facts."""
+        words = _vocabulary(grams)
+        counts, facts = np.ones(len(grams), np.int64), np.zeros((5, len(words)), np.int64)
+        places, word_places = dict(_groups(self.grid.slices(grams))), dict(_groups(self.grid.word_slices(words)))
+        folder = f"answers/block={block_name(grams)}"
+        if self._files(folder):
+            for x in self._rows(folder, lang):
+                if x["kind"] == "found":
+                    counts[places[x["slot"]]] = unints(x["b"])
+                else:
+                    facts[:, word_places[x["slot"]]] = _unsized(x["b"])
+            return counts, words, facts
+        for x in self._rows("grams/kind=model", lang):
+            if (i := places.get(x["slot"])) is not None:
+                at, ok = _find(self.grid.unpack(x["a"], x["slot"]), grams[i])
+                counts[i[ok]] = unints(x["b"])[at[ok]]
+        for x in self._rows("words/kind=words", lang):
+            if (i := word_places.get(x["slot"])) is not None:
+                at, ok = _find(self.grid.unpack_words(x["a"], x["slot"]), words[i])
+                facts[:, i[ok]] = unints(x["b"]).reshape(5, -1)[:, at[ok]]
+        return counts, words, facts
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted in a sorted array, and whether they are there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+def build_model(rows: DataFrame, path: str) -> tuple[Grid, dict[str, Language]]:
+    """Counts rows (lang, t) into path: grams/kind=model and words/kind=words are the model, answers/block=... what each block asked for. The driver gets a row a language."""
+    spark = rows.sparkSession
+    grid = Grid.of(rows.agg(F.sum(F.length("t"))).first()[0] or 0)
+    read = lambda x: spark.read.schema(ROWS).parquet(f"{path}/{x}")
+    with settled(spark):
+        count_grams(asked(rows, grid), grid).write.partitionBy("kind").parquet(f"{path}/grams")
+        count_words(read("grams").filter(F.col("kind").isin("asked", "context", "left")), grid).write.partitionBy("kind").parquet(f"{path}/words")
+        answers = read("grams").filter("kind = 'found'").unionByName(read("words").filter("kind = 'known'"))
+        answers.select("kind", "slot", "lang", "block", "b").repartition("block").write.partitionBy("block").parquet(f"{path}/answers")
+    for gone in ("asked", "context", "left", "found"):
+        remove(spark, f"{path}/grams/kind={gone}")
+    remove(spark, f"{path}/words/kind=known")
+    sizes: dict[str, dict[str, np.ndarray]] = {}
+    for which in ("grams", "words"):
+        for lang, b in read(which).filter("kind = 'sizes'").groupBy("lang").agg(F.collect_list("b")).collect():
+            sizes.setdefault(lang, {})[which] = sum(unints(x) for x in b)
+    return grid, {lang: Language(**x) for lang, x in sizes.items()}
 
 
 # ---- scores and verdicts ----
@@ -452,83 +456,85 @@ def base_counts(text: str) -> tuple[int, int, int]:
     return len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again
 
 
-SCORES = "id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, bits double, across double"
+SCORES = "id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, bits double"
+
 
+def scored(df: DataFrame, path: str, grid: Grid, languages: dict[str, Language], rules: Rules) -> DataFrame:
+    """df (id, lang, t) with base counts and mean bits a word under the model in path."""
 
-def _scored(df: DataFrame, path: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[path] = Scorer(path)
-
-        def scored(ids: list, langs: list[str], texts: list[str]) -> pa.RecordBatch:
-            words = [t.encode().split() for t in texts]
-            rows = []
-            scorer = _SCORERS[path]
-            for text, found, (hashes, bits), across in zip(texts, words, scorer.many(langs, words), scorer.across(langs, words), strict=True):
-                chars, symbols, lines = base_counts(text)
-                rows.append((len(found), chars, symbols, lines, repeated_words(hashes, window), bits / (chars + len(found)) if found else None, across))
-            kinds = [pa.int64()] * 5 + [pa.float64()] * 2
-            arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))]
-            return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCORES.split(", ")])
-
-        for b in batches:
-            ids, langs, texts, size = [], [], [], 0
-            for i, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids.append(i), langs.append(lang), texts.append(text.as_py() or "")
-                size += len(texts[-1]) + 256
-                if size > TOGETHER:
-                    yield scored(ids, langs, texts)
-                    ids, langs, texts, size = [], [], [], 0
-            if ids:
-                yield scored(ids, langs, texts)
-
-    return df.select("id", "lang", "t").mapInArrow(run, SCORES)
-
-
-def bands(scores: DataFrame, rules: Rules = Rules(), score: str = "bits") -> DataFrame:
-    """(lang, low, high) of a score in bits a symbol, from a histogram in thousandths of the texts that pass the base rules."""
-    fine = scores.filter(~_failed(rules)).select("lang", F.round(F.col(score) * 1000).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n"))
-    pooled = _middle(fine.groupBy(F.lit("").alias("lang"), "bin").agg(F.sum("n").alias("n"))).select(F.col("mid").alias("all_mid"), F.col("mad").alias("all_mad"))
-    own = F.least(F.col("texts") / rules.fewest, F.lit(1.0)) if rules.fewest else F.lit(1.0)
-    mix = lambda x: (own * F.col(x) + (1 - own) * F.col(f"all_{x}")) / 1000
-    unit = F.greatest(mix("mad"), F.lit(rules.floor))
-    return _middle(fine).crossJoin(F.broadcast(pooled)).select("lang", (mix("mid") - rules.below * unit).alias("low"), (mix("mid") + rules.above * unit).alias("high"))
-
-
-def _middle(fine: DataFrame) -> DataFrame:
-    """(lang, mid, texts, mad) of a histogram (lang, bin, n): median, count and median deviation."""
-    middle = fine.groupBy("lang").agg(F.expr("percentile(bin, 0.5, n)").alias("mid"), F.sum("n").alias("texts"))
-    off = fine.join(middle, "lang").groupBy("lang", "mid", "texts", F.abs(F.col("bin") - F.col("mid")).alias("off")).agg(F.sum("n").alias("n"))
-    return off.groupBy("lang", "mid", "texts").agg(F.expr("percentile(off, 0.5, n)").alias("mad"))
-
-
-def _failed(rules: Rules) -> F.Column:
+        answers = Answers(path, grid)
+        for docs in blocks(batches, grid.block, rules):
+            by: dict[str, list[int]] = {}
+            for i, doc in enumerate(docs):
+                by.setdefault(doc[0], []).append(i)
+            mean: list[float | None] = [None] * len(docs)
+            for lang, mine in by.items():
+                sizes = np.array([len(docs[i][1]) for i in mine])
+                grams, place = np.unique(np.concatenate([docs[i][1] for i in mine]), return_inverse=True)
+                if not len(grams):
+                    continue
+                counts, words, facts = answers.of(lang, grams)
+                before, own = (np.searchsorted(words, x) for x in (grams >> np.uint64(32), grams & np.uint64(0xFFFFFFFF)))
+                bits = np.cumsum(np.append(0.0, languages[lang].bits(counts, facts[:, before], facts[4][own])[place]))
+                ends = np.cumsum(sizes)
+                for i, n, x in zip(mine, sizes.tolist(), (bits[ends] - bits[ends - sizes]).tolist(), strict=True):
+                    mean[i] = x / n if n else None
+            columns = [[d[2][0] for d in docs], [d[0] for d in docs], *zip(*(d[3] for d in docs)), mean]
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCORES.split(", ")])
+
+    return df.select("lang", "t", "id").mapInArrow(run, SCORES)
+
+
+def _failed(rules: Rules) -> Column:
     return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
 
 
+def bands(scores: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(lang, low, high) in bits a word, for every language of scores.
+
+    From median and upper quartile of a histogram in thousandths of the scores of texts that pass the base rules; texts of
+    equal length and score, as copies are, count once.
+    """
+    once = scores.filter(~_failed(rules)).select("lang", "n_words", F.round(F.col("bits") * 1000).cast("long").alias("bin")).distinct()
+    fine = once.groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    at = F.expr("percentile(bin, array(0.5, 0.75), n)").alias("q")
+    own = fine.groupBy("lang").agg(at, F.sum("n").alias("texts"))
+    pooled = fine.groupBy("bin").agg(F.sum("n").alias("n")).agg(at).select(F.col("q").alias("all_q"))
+    share = F.coalesce(F.col("texts") / (F.col("texts") + rules.lean), F.lit(0.0))
+    mix = lambda i: F.coalesce(share * F.col("q")[i], F.lit(0.0)) + (1 - share) * F.col("all_q")[i]
+    # One row meets a row for each language.
+    out = scores.select("lang").distinct().join(own, "lang", "left").crossJoin(F.broadcast(pooled))
+    out = out.select("lang", (mix(0) / 1000).alias("mid"), (mix(1) / 1000).alias("upper"))
+    spread = F.greatest(F.col("upper") - F.col("mid"), F.lit(rules.floor))
+    return out.select("lang", (rules.below * F.col("mid")).alias("low"), (F.col("mid") + rules.above * spread).alias("high"))
+
+
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, low, high, across, across_low, across_high, kept) for every row of df.
+    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, low, high) for every row of df.
 
-    Null or blank texts have no words, perplexity null and fail the base rules. A null language is a language of its
-    own. Repeated rows count as often as they come. Languages with few texts lean on all languages' bands. Empty input: empty
-    result. Only the three named columns are read. Perplexity is 2 to the bits a symbol
-    inside words; low and high bound it. So do across, across_low and across_high for symbols that follow a blank, given what precedes it.
+    Perplexity is 2 to the mean bits a word; low and high bound it, ends included. Null or blank texts have no words,
+    perplexity null and fail the base rules. A null language is a language of its own, together with the empty name.
+    Repeated rows count as often as they come. Languages with few texts lean on all languages' bands; where no text
+    passes the base rules, low and high are null. Empty input: empty result. Only the three named columns are read, twice.
     """
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("t"))
     path = fresh_path(spark, "ngrams")
-    store_model(count_model(rows, rules), path)
-    scores = stored(_scored(rows, path, rules.window), "scores")
-    over = bands(scores, rules, "across").select("lang", F.col("low").alias("across_low"), F.col("high").alias("across_high"))
-    out = scores.join(bands(scores, rules), "lang", "left").join(over, "lang", "left")
+    with settled(spark):
+        grid, languages = build_model(rows, path)
+        scores = stored(scored(rows, path, grid, languages, rules), "scores")
+    remove(spark, path)
+    limits = stored(bands(scores, rules), "bands")
+    few = limits.count() <= FEW_LANGUAGES
+    out = scores.join(F.broadcast(limits) if few else limits.hint("merge"), "lang", "left")
     failed = _failed(rules)
-    within = lambda x, low, high: F.coalesce(F.col(x).between(F.col(low), F.col(high)), F.col(x).isNotNull())
-    inside = within("bits", "low", "high") & within("across", "across_low", "across_high")
+    power = lambda x, name: F.pow(F.lit(2.0), x).alias(name)
     return out.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.pow(F.lit(2.0), "bits").alias("perplexity"),
-        F.pow(F.lit(2.0), "low").alias("low"), F.pow(F.lit(2.0), "high").alias("high"),
-        *(F.pow(F.lit(2.0), x).alias(x) for x in ("across", "across_low", "across_high")), (~failed & inside).alias("kept"),
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & F.col("bits").between(F.col("low"), F.col("high"))).alias("kept"), power("bits", "perplexity"), power("low", "low"), power("high", "high"),
     )
 
 
