@@ -174,7 +174,7 @@ def first_number_in_text(spark, sf_dir):
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
-h AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN left(line, 12) END AS head, length(line) AS n FROM l),
+h AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN line END AS head, length(line) AS n FROM l),
 s AS (SELECT doc_id, n, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h)
 SELECT doc_id, section, count(*) AS lines, CAST(sum(n) AS BIGINT) AS chars FROM s GROUP BY ALL""")
 def card_line_sections(spark, sf_dir):
@@ -336,8 +336,7 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_PLANS = f"""{SQL_PARTS}, plans AS (SELECT candidate_id AS plan_id, oral_class, engineered, scaffold_type, CASE WHEN candidate_id % 3 = 0 THEN 'High' ELSE oral_class END AS predicted_oral,
-CASE candidate_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 20 END AS k FROM snap WHERE candidate_id % 7 = 0),
-shapes AS (SELECT DISTINCT oral_class, engineered, scaffold_type FROM snap),
+CASE candidate_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 20 END AS k FROM snap),
 ranked AS (SELECT oral_class, engineered, scaffold_type, candidate_id, row_number() OVER (PARTITION BY oral_class, engineered, scaffold_type ORDER BY best_affinity_value NULLS LAST, candidate_id) AS r FROM snap),
 gold AS (SELECT plan_id, candidate_id FROM plans p JOIN ranked r ON p.oral_class = r.oral_class AND p.engineered = r.engineered AND p.scaffold_type = r.scaffold_type AND r.r <= k),
 pred AS (SELECT plan_id, candidate_id FROM plans p JOIN ranked r ON p.predicted_oral = r.oral_class AND p.engineered = r.engineered AND p.scaffold_type = r.scaffold_type AND r.r <= k),

@@ -1,8 +1,9 @@
 """Many plans over one table at once.
 
 Plans come as a table: plan_id, one column for each filter value, a limit. Plans of one shape (same filtered fields,
-same order) share a join: null-safe keys for equality, a residual condition for ranges. Only the plans' side is
-broadcast, and only below a checked number of rows; Spark picks a shuffle join beyond it.
+same order) share a join: null-safe keys for equality, a residual condition for ranges. Where all filters are
+equalities, rows are ranked once for each key, cut at the greatest limit before they are shuffled, and then meet
+the plans. Else the plans' side is broadcast below a checked number of rows; Spark picks a shuffle join beyond it.
 """
 
 from __future__ import annotations
@@ -39,12 +40,23 @@ def _condition(shape: Shape) -> Column:
     return reduce(and_, [(c | F.col(f"p.{f}").isNull()) if shape.optional else c for f, c in pairs], F.lit(True))
 
 
-def run_many(rows: DataFrame, plans: DataFrame, shape: Shape, id_col: str, position: str = "_pos", few: bool | None = None) -> DataFrame:
-    """(plan_id, rank, id_col) of each plan's rows; plans without rows have none. few: whether plans are known to fit a broadcast."""
-    few = plans.limit(BROADCAST_PLANS + 1).count() <= BROADCAST_PLANS if few is None else few
-    right = F.broadcast(plans).alias("p") if few else plans.alias("p")
+def _by_key(rows: DataFrame, plans: DataFrame, shape: Shape, id_col: str, position: str) -> DataFrame:
+    most = plans.agg(F.max("limit")).first()[0]
+    rank = F.row_number().over(Window.partitionBy(*shape.equal).orderBy(*order(rows, shape.sort, position)))
+    best = rows.withColumn("rank", rank).filter(F.col("rank") <= (most or 0)).select(*shape.equal, "rank", id_col)
+    met = best.alias("r").join(plans.alias("p"), _condition(shape) & (F.col("r.rank") <= F.col("p.limit")))
+    return met.select("p.plan_id", "r.rank", F.col(f"r.{id_col}").alias(id_col))
+
+
+def run_many(rows: DataFrame, plans: DataFrame, shape: Shape, id_col: str, position: str = "_pos") -> DataFrame:
+    """(plan_id, rank, id_col) of each plan's rows; plans without rows have none. A plan without a limit, or with one below 1, has none either."""
     needed = dict.fromkeys([*shape.equal, *shape.least, *shape.most, *(s.field for s in shape.sort), id_col, position])
-    met = rows.select(*needed).alias("r").join(right, _condition(shape)).select("p.plan_id", "p.limit", *(F.col(f"r.{c}").alias(c) for c in needed))
+    rows = rows.select(*needed)
+    if shape.equal and not (shape.least or shape.most or shape.optional):
+        return _by_key(rows, plans, shape, id_col, position)
+    few = plans.limit(BROADCAST_PLANS + 1).count() <= BROADCAST_PLANS
+    right = F.broadcast(plans).alias("p") if few else plans.alias("p")
+    met = rows.alias("r").join(right, _condition(shape)).select("p.plan_id", "p.limit", *(F.col(f"r.{c}").alias(c) for c in needed))
     rank = F.row_number().over(Window.partitionBy("plan_id").orderBy(*order(met, shape.sort, position)))
     return met.withColumn("rank", rank).filter(F.col("rank") <= F.col("limit")).select("plan_id", "rank", id_col)
 

@@ -92,7 +92,9 @@ def run(df: DataFrame, plan: Plan, position: str = POSITION, project: bool = Fal
     """The plan's rows of df, whose position column gives the input order. project: only return_fields, else whole rows."""
     if plan.limit is not None and plan.limit < 0:
         raise ValueError("a limit can't be negative")
-    out = where(df, plan, substring).orderBy(*order(df, plan.sort, position))
+    out = where(df, plan, substring)
+    if plan.sort or plan.limit is not None:  # a filter alone keeps the input order
+        out = out.orderBy(*order(df, plan.sort, position))
     out = out if plan.limit is None else out.limit(plan.limit)
     return out.select(*(f for f in plan.return_fields if f in df.columns)) if project and plan.return_fields else out
 
