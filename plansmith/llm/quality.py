@@ -119,14 +119,28 @@ def _zip(x: np.ndarray) -> bytes:
 
 
 def ints(x: np.ndarray) -> bytes:
-    """Numbers from 0 on, compressed."""
+    """Numbers from 0 on, their lowest bytes first, then the next ones, compressed."""
     x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
-    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + _zip(x)
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + _zip(x.view(np.uint8).reshape(-1, x.itemsize).T)
 
 
 def unints(b: bytes) -> np.ndarray:
     size, n = b[0], int.from_bytes(b[1:9], "little")
-    return np.frombuffer(pa.decompress(b[9:], n * size, codec="zstd", asbytes=True), f"<u{size}").astype(np.int64)
+    planes = np.frombuffer(pa.decompress(b[9:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(n).astype(np.int64)
+
+
+def _sized(*parts: bytes) -> bytes:
+    return b"".join(len(b).to_bytes(4, "little") + b for b in parts)
+
+
+def _unsized(b: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(b):
+        n = int.from_bytes(b[at : at + 4], "little")
+        out.append(b[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -169,13 +183,17 @@ class Grid:
         return (words & np.uint64((1 << self.wide) - 1)).astype(np.int64)
 
     def pack(self, grams: np.ndarray) -> bytes:
+        """Sorted distinct n-grams: the first words, how often each stands, the second words, and which of them each n-gram has."""
         near = np.uint64(self.near)
-        return pack(grams >> np.uint64(32) + near << np.uint64(32 - self.near) | (grams & np.uint64(0xFFFFFFFF)) >> near)
+        u, (v, which) = grams >> np.uint64(32) + near, np.unique((grams & np.uint64(0xFFFFFFFF)) >> near, return_inverse=True)
+        start = np.flatnonzero(np.diff(u, prepend=~u[:1]))
+        return _sized(pack(u[start]), ints(np.diff(start, append=len(u))), pack(v), ints(which))
 
     def unpack(self, b: bytes, at: int) -> np.ndarray:
-        x, near, part = unpack(b), np.uint64(self.near), at >> self.extra
-        u = x >> np.uint64(32 - self.near) << near | np.uint64(part >> self.near)
-        v = (x & np.uint64((1 << 32 - self.near) - 1)) << near | np.uint64(part & (1 << self.near) - 1)
+        first, often, second, which = _unsized(b)
+        near, part = np.uint64(self.near), at >> self.extra
+        u = np.repeat(unpack(first), unints(often)) << near | np.uint64(part >> self.near)
+        v = unpack(second)[unints(which)] << near | np.uint64(part & (1 << self.near) - 1)
         return u << np.uint64(32) | v
 
     def pack_words(self, words: np.ndarray) -> bytes:
@@ -299,27 +317,13 @@ def count_words(rows: DataFrame, grid: Grid) -> DataFrame:
                 elif x["kind"] == "left":
                     facts[4, i] += unints(x["b"])
             out.append(("words", at, lang, None, grid.pack_words(words), ints(facts.ravel())))
-            out += [("known", at, lang, x["block"], None, b"".join(map(_sized, facts[:, i]))) for x, i in zip(lists, places, strict=True) if x["kind"] == "asked"]
+            out += [("known", at, lang, x["block"], None, _sized(*map(ints, facts[:, i]))) for x, i in zip(lists, places, strict=True) if x["kind"] == "asked"]
             out.append(("sizes", at, lang, None, None, ints(_sizes(facts[4][facts[4] > 0]))))
         return _table(out)
 
     return rows.groupBy("slot").applyInArrow(run, ROWS)
 
 
-def _sized(x: np.ndarray) -> bytes:
-    b = ints(x)
-    return len(b).to_bytes(4, "little") + b
-
-
-def _unsized(b: bytes) -> np.ndarray:
-    out = []
-    while b:
-        n = int.from_bytes(b[:4], "little")
-        out.append(unints(b[4 : 4 + n]))
-        b = b[4 + n :]
-    return np.stack(out)
-
-
 # ---- the model ----
 
 
@@ -383,7 +387,7 @@ class Answers:
                 if x["kind"] == "found":
                     counts[places[x["slot"]]] = unints(x["b"])
                 else:
-                    facts[:, word_places[x["slot"]]] = _unsized(x["b"])
+                    facts[:, word_places[x["slot"]]] = [unints(y) for y in _unsized(x["b"])]
             return counts, words, facts
         for x in self._rows("grams/kind=model", lang):
             if (i := places.get(x["slot"])) is not None:
