@@ -54,8 +54,9 @@ def test_copies_ties_and_bad_vectors(spark):
     assert len(ann.nearest(df.filter("vec_id in (0, 40)"), df.filter("vec_id = 0")).collect()) == 1
 
 
-def test_big_buckets_split(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BUCKET", 16)
+def test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERIES", 4)
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(60, 8)), 5 + 1e-3 * rng.normal(size=(150, 8))])
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
@@ -65,3 +66,26 @@ def test_big_buckets_split(spark, monkeypatch):
     for r in ann.nearest(df, df.filter(F.col("vec_id") >= 200)).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[i] & {j for _, j in want[i]}) for i in want]) > 9.5
+
+
+def test_lengths_are_searched_apart(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id in (3, 105)"), k=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got[3]) == [(1, 2, 1.0), (2, 4, 1.0), (3, 1, 2.0)] and sorted(got[105]) == [(1, 104, 1.0), (2, 106, 1.0), (3, 103, 2.0)]
+
+
+def test_share_compared_falls():
+    """The more vectors, the smaller the share that a query meets, while recall stays."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(16_000, 64))
+    shares = []
+    for n in (500, 4000, 16_000):
+        met = ann.Tables(x[:n], ann.Settings()).met(x[:30])
+        d = ((x[:30, None] - x[None, :n]) ** 2).sum(2)
+        near = np.argsort(d, axis=1)[:, 1:11]
+        assert np.take_along_axis(met, near, 1).mean() > 0.92
+        shares.append(met.mean())
+    assert shares[1] < 0.85 * shares[0] and shares[2] < 0.75 * shares[1], shares
