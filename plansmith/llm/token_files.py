@@ -2,8 +2,10 @@
 
 Rows are range-partitioned and sorted by key, so shards and the rows in them ascend. Each shard is one file: raw
 ids, then row keys and offsets, then a minimal perfect hash over the distinct keys whose slots hold a fingerprint
-and the key's first row. A lookup hashes the key, compares the fingerprint and seeks: constant time, without the
-keys in memory. Files are written under a temporary name and moved, so a lost or repeated task leaves one whole file.
+and the key's first row. The hash's bits lie in blocks with the rank before each. Opening a shard reads only its
+footer; a lookup hashes the key, reads a block of bits with its rank, then the slot's fingerprint, row and offsets, and the
+ids: constant time, without keys or index in memory. Many lookups at once read the sections whole. Files are written
+under a temporary name and moved, so a lost or repeated task leaves one whole file.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from plansmith.llm.common import fresh_path, table
 from plansmith.llm.tokenizing import encoder, vocabulary_path
 from plansmith.session import ship
 
-MAGIC = b"TOKSHRD1"
-LEVELS = 40
+MAGIC = b"TOKSHRD2"
+LEVELS, BITS = 40, 512
+#: Up to so many entries of a section are read one by one.
+FEW = 64
+#: Keys that a scan looks up together.
+LOOKED_UP = 4096
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -37,43 +43,85 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class Section:
+    """An array that may lie in a file: few entries are read one by one, many together with all others."""
+
+    def __init__(self, read, at: int, n: int, kind: str) -> None:
+        self.read, self.at, self.n, self.kind, self.held = read, at, n, np.dtype(kind), None
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> "Section":
+        out = cls(None, 0, len(x), x.dtype.str)
+        out.held = x
+        return out
+
+    def __len__(self) -> int:
+        return self.n
+
+    def all(self) -> np.ndarray:
+        if self.held is None:
+            self.held = self.part(0, self.n)
+        return self.held
+
+    def part(self, i: int, j: int) -> np.ndarray:
+        if self.held is not None:
+            return self.held[i:j]
+        return np.frombuffer(self.read((j - i) * self.kind.itemsize, self.at + i * self.kind.itemsize), self.kind)
+
+    def take(self, at: np.ndarray, run: int = 1) -> np.ndarray:
+        """Runs of entries from multiples of run on, a row each."""
+        if self.held is not None or len(at) > FEW:
+            return self.all().reshape(-1, run)[at]
+        return np.array([self.part(i * run, (i + 1) * run) for i in at.tolist()], self.kind).reshape(len(at), run)
+
+
 class PerfectHash:
-    """Cascaded bit arrays: a key that lies alone on its bit is placed there, the others go on to the next level. A slot is the bit's rank."""
+    """Cascaded bit arrays: a key that lies alone on its bit is placed there, the others go on to the next level. A slot is the bit's rank.
+
+    sizes: bits of each level, whole blocks of 512. words: all levels' bits. ranks: bits set before each block. rest:
+    keys that no level took, sorted; their slots follow.
+    """
 
-    def __init__(self, levels: list[np.ndarray], rest: np.ndarray) -> None:
-        self.levels, self.rest = levels, rest
-        bits = np.concatenate([*levels, np.zeros(1, bool)])
-        self.base = np.cumsum([0, *map(len, levels)])
-        self.rank = np.concatenate([[0], np.cumsum(bits)])
-        self.placed = int(self.rank[-1])
+    def __init__(self, sizes: list[int], words: Section, ranks: Section, rest: Section, placed: int) -> None:
+        self.sizes, self.words, self.ranks, self.rest, self.placed = sizes, words, ranks, rest, placed
+        self.base = np.cumsum([0, *sizes]) // BITS
 
     @classmethod
     def build(cls, keys: np.ndarray) -> "PerfectHash":
         """keys: distinct uint64."""
         levels, rest = [], keys
         while len(rest) and len(levels) < LEVELS:
-            size = max(64, -(-2 * len(rest) // 64) * 64)
-            at = _mix(rest, len(levels)) % np.uint64(size)
-            alone = np.bincount(at.astype(np.int64), minlength=size)[at.astype(np.int64)] == 1
+            size = -(-2 * len(rest) // BITS) * BITS
+            at = (_mix(rest, len(levels)) % np.uint64(size)).astype(np.int64)
+            alone = np.bincount(at, minlength=size)[at] == 1
             bits = np.zeros(size, bool)
-            bits[at[alone].astype(np.int64)] = True
+            bits[at[alone]] = True
             levels.append(bits)
             rest = rest[~alone]
-        return cls(levels, np.sort(rest))
+        bits = np.concatenate([*levels, np.zeros(0, bool)])
+        ranks = np.cumsum(np.append(0, bits.reshape(-1, BITS).sum(1)))
+        words = np.packbits(bits, bitorder="little").view("<u8")
+        return cls([len(x) for x in levels], Section.of(words), Section.of(ranks[:-1].astype("<i8")), Section.of(np.sort(rest)), int(ranks[-1]))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """A slot for each key; keys that weren't built in get any slot or -1."""
         out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for n, bits in enumerate(self.levels):
+        for n, size in enumerate(self.sizes):
             if not len(todo):
                 return out
-            at = (_mix(keys[todo], n) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at]
-            out[todo[hit]] = self.rank[self.base[n] + at[hit]]
+            at = (_mix(keys[todo], n) % np.uint64(size)).astype(np.int64)
+            block, word, bit = self.base[n] + at // BITS, at % BITS // 64, (at % 64).astype(np.uint64)
+            words = self.words.take(block, BITS // 64)
+            own = words[np.arange(len(at)), word]
+            hit = own >> bit & np.uint64(1) == 1
+            before = np.where(np.arange(BITS // 64) < word[:, None], np.bitwise_count(words), 0).sum(1)
+            before = before + np.bitwise_count(own & (np.uint64(1) << bit) - np.uint64(1))
+            out[todo[hit]] = self.ranks.take(block[hit])[:, 0] + before[hit]
             todo = todo[~hit]
         if len(todo) and len(self.rest):
-            at = np.minimum(np.searchsorted(self.rest, keys[todo]), len(self.rest) - 1)
-            hit = self.rest[at] == keys[todo]
+            rest = self.rest.all()
+            at = np.minimum(np.searchsorted(rest, keys[todo]), len(rest) - 1)
+            hit = rest[at] == keys[todo]
             out[todo[hit]] = self.placed + at[hit]
         return out
 
@@ -108,13 +156,13 @@ class ShardWriter:
         slots = index.slots(distinct.view(np.uint64))
         marks, rows = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
         marks[slots], rows[slots] = fingerprints(distinct.view(np.uint64)), first + null
-        sections = {"keys": keys, "ends": np.array(self.ends, np.int64), "marks": marks, "rows": rows, "rest": index.rest, **{f"level{i}": np.packbits(x) for i, x in enumerate(index.levels)}}
+        sections = {"keys": keys, "ends": np.array(self.ends, np.int64), "marks": marks, "rows": rows, "rest": index.rest.all(), "words": index.words.all(), "ranks": index.ranks.all()}
         at, places = self.ends[-1] * self.width, {}
         for name, x in sections.items():
             self.out.write(x.tobytes())
             places[name] = [at, len(x), x.dtype.str]
             at += x.nbytes
-        footer = json.dumps({"width": self.width, "null": null, "sections": places}).encode()
+        footer = json.dumps({"width": self.width, "null": null, "levels": index.sizes, "placed": index.placed, "sections": places}).encode()
         self.out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
         self.out.close()
         self.fs.move(self.temporary, self.path)
@@ -131,29 +179,28 @@ class Shard:
         if tail[8:] != MAGIC:
             raise ValueError(f"not a whole token shard: {uri}")
         n = int.from_bytes(tail[:8], "little")
-        self.footer = json.loads(self.file.read_at(n, size - 16 - n))
-        self.width, self.null = self.footer["width"], self.footer["null"]
-        self.keys, self.ends, self.marks, self.rows = map(self._section, ("keys", "ends", "marks", "rows"))
-        packed = [self._section(x) for x in self.footer["sections"] if x.startswith("level")]
-        self.index = PerfectHash([np.unpackbits(x).astype(bool) for x in packed], self._section("rest"))
-
-    def _section(self, name: str) -> np.ndarray:
-        at, n, kind = self.footer["sections"][name]
-        return np.frombuffer(self.file.read_at(n * np.dtype(kind).itemsize, at), kind)
+        footer = json.loads(self.file.read_at(n, size - 16 - n))
+        self.width, self.null = footer["width"], footer["null"]
+        section = {name: Section(self.file.read_at, *place) for name, place in footer["sections"].items()}
+        self.keys, self.ends, self.marks, self.rows = map(section.get, ("keys", "ends", "marks", "rows"))
+        self.index = PerfectHash(footer["levels"], section["words"], section["ranks"], section["rest"], footer["placed"])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         raw = keys.astype(np.int64).view(np.uint64)
         slots = self.index.slots(raw)
-        ok = slots >= 0
-        ok[ok] = self.marks[slots[ok]] == fingerprints(raw[ok])
-        return np.where(ok, self.rows[np.where(ok, slots, 0)] if len(self.rows) else -1, -1).astype(np.int64)
+        ok = np.flatnonzero(slots >= 0)
+        ok = ok[self.marks.take(slots[ok])[:, 0] == fingerprints(raw[ok])]
+        out = np.full(len(keys), -1, np.int64)
+        out[ok] = self.rows.take(slots[ok])[:, 0]
+        return out
 
-    def row(self, i: int) -> np.ndarray:
-        a, b = self.ends[i : i + 2]
-        return np.frombuffer(self.file.read_at(int(b - a) * self.width, int(a) * self.width), f"<u{self.width}")
+    def row(self, i: int) -> tuple[int, np.ndarray]:
+        """Ids of the shard before row i, and its own."""
+        a, b = self.ends.part(i, i + 2).tolist()
+        return a, np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}")
 
     def key(self, i: int) -> int | None:
-        return None if i < self.null else int(self.keys[i - self.null])
+        return None if i < self.null else int(self.keys.part(i - self.null, i - self.null + 1)[0])
 
     def copies(self, i: int) -> range:
         """The rows with the key of row i, which is its first."""
@@ -224,7 +271,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def scan_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every row of the files; every non-null key is found through its shard's index on the way."""
+    """(doc_id, start, n_tokens, ids_crc32) of every row of the files: each distinct key is looked up in its shard's index, which leads to its rows; rows with a null key have no entry there and come by position."""
     ship(spark)
     shards = [(s["name"], s["start"]) for s in open_manifest(path)["shards"]]
 
@@ -232,24 +279,28 @@ def scan_tokens(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = Shard(f"{path}/{name}")
-                if len(shard.keys):
-                    distinct, first = np.unique(shard.keys, return_index=True)
-                    if (shard.find(distinct) != first + shard.null).any():
-                        raise ValueError(f"the index of {name} doesn't lead to its rows")
-                rows: list[tuple] = []
-                for i in range(shard.null + len(shard.keys)):
-                    ids = shard.row(i)
-                    rows.append((shard.key(i), start + int(shard.ends[i]), len(ids), _crc(ids)))
-                    if len(rows) == 4096:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+                shard.ends.all()
+                found = [(None, i) for i in range(shard.null)]
+                distinct, often = np.unique(shard.keys.all(), return_counts=True)
+                for at in range(0, len(distinct), LOOKED_UP):
+                    keys, first = distinct[at : at + LOOKED_UP], shard.find(distinct[at : at + LOOKED_UP])
+                    if (first < 0).any():
+                        raise ValueError(f"the index of {name} lacks keys")
+                    found += [(k, i + j) for k, i, n in zip(keys.tolist(), first.tolist(), often[at : at + LOOKED_UP].tolist(), strict=True) for j in range(n)]
+                    yield _batch([_told(shard, start, k, i) for k, i in found])
+                    found = []
+                if found:
+                    yield _batch([_told(shard, start, k, i) for k, i in found])
 
     listed = spark.createDataFrame(shards, "name string, start bigint")
     return listed.repartition(max(1, len(shards))).mapInArrow(run, OUT)
 
 
+def _told(shard: Shard, start: int, key: int | None, i: int) -> tuple:
+    before, ids = shard.row(i)
+    return key, start + before, len(ids), _crc(ids)
+
+
 def lookup_tokens(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the keys that the files hold: shard by range, then the perfect hash, fingerprint and one read.
 
@@ -260,25 +311,24 @@ def lookup_tokens(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
     shards = [s for s in open_manifest(path)["shards"] if s["first"] is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, opened = np.array([s["last"] for s in shards], np.int64), {}
+        last, now, shard = np.array([s["last"] for s in shards], np.int64), -1, None
         for b in batches:
             rows: list[tuple] = []
-            wanted = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            wanted = b.column(0).to_numpy()
             at = np.searchsorted(last, wanted)
             for n in np.unique(at[at < len(shards)]).tolist():
-                if n not in opened:
-                    opened.clear()
-                    opened[n] = Shard(f"{path}/{shards[n]['name']}")
-                shard, mine = opened[n], wanted[at == n]
+                if n != now:
+                    now, shard = n, Shard(f"{path}/{shards[n]['name']}")
+                mine = wanted[at == n]
                 for key, row in zip(mine.tolist(), shard.find(mine).tolist(), strict=True):
                     if row >= 0 and shard.key(row) == key:
-                        for i in shard.copies(row):
-                            ids = shard.row(i)
-                            rows.append((key, shards[n]["start"] + int(shard.ends[i]), len(ids), _crc(ids)))
+                        rows += [_told(shard, shards[n]["start"], key, i) for i in shard.copies(row)]
             if rows:
                 yield _batch(rows)
 
-    return keys.select(F.col(f"`{id_col}`").cast("long").alias("k")).mapInArrow(run, OUT)
+    wanted = keys.select(F.col(f"`{id_col}`").cast("long").alias("k")).filter("k IS NOT NULL")
+    # Keys of one shard come one after the other, so a task opens each of its shards once.
+    return wanted.repartitionByRange("k").sortWithinPartitions("k").mapInArrow(run, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,26 @@ def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     h = token_files.PerfectHash.build(keys)
     assert sorted(h.slots(keys).tolist()) == list(range(5000))
+    assert token_files.PerfectHash.build(keys[:0]).slots(keys[:3]).tolist() == [-1] * 3
+
+
+def test_single_lookups_read_a_few_bytes(tmp_path):
+    """Opening a shard and finding a key takes a bounded number of bytes, however large the shard."""
+    keys = np.unique(np.random.default_rng(2).integers(-(2**62), 2**62, 60_000))
+    writer = token_files.ShardWriter(str(tmp_path / "s.tok"), 2)
+    for k in keys.tolist():
+        writer.add(k, np.arange(k % 5, dtype="<u4"))
+    writer.close()
+    shard, read = token_files.Shard(str(tmp_path / "s.tok")), []
+    plain = shard.file.read_at
+    for x in (shard.keys, shard.ends, shard.marks, shard.rows, shard.index.words, shard.index.ranks, shard.index.rest):
+        x.read = lambda n, at: read.append(n) or plain(n, at)
+    for i in (0, 17, 59_000):
+        assert shard.find(keys[i : i + 1]).tolist() == [i] and shard.key(i) == keys[i]
+        assert shard.row(i)[1].tolist() == list(range(int(keys[i]) % 5))
+    assert sum(read) < 3 * 2000
+    assert (shard.find(keys) == np.arange(len(keys))).all()
+    assert shard.find(np.array([1, 2, 3])).tolist() == [-1] * 3
 
 
 def packed_ok(rows, want, size=2048):
