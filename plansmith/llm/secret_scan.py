@@ -1,7 +1,8 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of a text is content-addressed (SHA-256). Only blobs that the ledger doesn't hold for the current
-rule version are scanned, once each however many paths share them; findings are then joined back to all paths.
+Every version of a text is content-addressed (SHA-256). The ledger is a table under a name of its own, to which each run
+appends: only blobs that it doesn't hold for the current rule version are scanned, once each however many paths share
+them; findings are then joined back to all paths. However many runs there were, the plan reads one table.
 Spans come from built-in functions alone: the pieces that split() leaves between matches and the matches of
 regexp_extract_all() alternate, so running lengths give each match's place.
 """
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansmith.llm.common import stored, table
+from plansmith.llm.common import fresh_path, settled, table
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,8 @@ RULES = (
 BASE = ("assign", "access", "hex")
 #: Goes up with every change of RULES, so that stored blobs are scanned again.
 RULE_VERSION = 3
+#: Groups in which the paths of a blob meet its findings, and parts in which the query's documents arrive.
+SALTS, DELIVERIES = 16, 2
 LEDGER = "blob string, rule_version int, spans array<struct<start:int,kind:int,end:int>>"
 
 
@@ -71,33 +74,54 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: int =
     return blobs.select("blob", F.lit(version).alias("rule_version"), spans.alias("spans"))
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", version: int = RULE_VERSION) -> DataFrame:
-    """The ledger after a run, as a table in the shared folder: what it held, and the blobs of versions it had not seen under this rule version.
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Ledger rows of all runs so far; none where there was no run."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def update_ledger(versions: DataFrame, path: str | None = None, text_col: str = "text", version: int = RULE_VERSION) -> str:
+    """Scans what the ledger at path has not seen of versions under this rule version, and appends it; returns the path (a new one without).
 
     Copies meet by hash before the scan; of each only one text moves. Nulls are scanned as empty texts. Rows of older
-    rule versions stay. Empty input: the ledger as it was.
+    rule versions stay. Empty input: the ledger as it was. One run at a time may write to a ledger; a run that
+    fails adds nothing.
     """
+    spark = versions.sparkSession
+    path = path or fresh_path(spark, "ledger")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     seen = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == version).select("blob")
-        seen = seen.join(known, "blob", "left_anti")
-    new = stored(scan_blobs(seen.groupBy("blob").agg(F.first("text").alias("text")), version=version), "ledger")
-    return new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
+    ledger = read_ledger(spark, path)
+    known = ledger.filter(F.col("rule_version") == version).select("blob")
+    seen = seen.join(known, "blob", "left_anti") if known.limit(1).count() else seen
+    with settled(spark):
+        scan_blobs(seen.groupBy("blob").agg(F.first("text").alias("text")), version=version).write.mode("append").parquet(path)
+    return path
+
+
+def join_findings(df: DataFrame, path: str, text_col: str = "text", version: int = RULE_VERSION) -> DataFrame:
+    """df with secret_spans from the ledger at path; texts that it doesn't hold have none."""
+    ledger = read_ledger(df.sparkSession, path)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__b")
+    found = ledger.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), salts)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    # Paths of one blob with findings may be many: they meet it in as many places as there are salts.
+    rows = df.withColumns({"__at": F.sha2(text, 256), "__a": F.pmod(F.spark_partition_id(), F.lit(SALTS))})
+    rows = rows.join(found, (F.col("__at") == F.col("__blob")) & (F.col("__a") == F.col("__b")), "left")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return rows.withColumn("secret_spans", F.coalesce("__spans", none)).drop("__at", "__a", "__blob", "__spans", "__b")
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(df with a column secret_spans, the updated ledger).
+def find_secrets(df: DataFrame, text_col: str = "text", path: str | None = None, version: int = RULE_VERSION) -> tuple[DataFrame, str]:
+    """(df with a column secret_spans, the path of the updated ledger).
 
     secret_spans: array of (start, kind as an index of RULES, end), in code points, end exclusive; empty for none and
     for null or empty texts. All rows pass through, repeated ones too; a column secret_spans of df is replaced.
     """
-    after = update_ledger(df, ledger, text_col, version)
-    found = after.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.withColumn("__at", F.sha2(text, 256)).join(found, F.col("__at") == F.col("__blob"), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.withColumn("secret_spans", F.coalesce("__spans", none)).drop("__at", "__blob", "__spans"), after
+    path = update_ledger(df, path, text_col, version)
+    return join_findings(df, path, text_col, version), path
 
 
 def listed(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
@@ -123,7 +147,12 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Documents arrive in DELIVERIES parts, as the versions of a history do; each is scanned against the ledger that those before it left, and findings are joined to all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = fresh_path(spark, "ledger")
+    for part in range(DELIVERIES):
+        update_ledger(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(DELIVERIES)) == part), path)
+    rows = join_findings(docs, path)
     spans = F.col("secret_spans")
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == BASE.index(k))).cast("long").alias(f"n_{k}")
     return rows.select("doc_id", *map(count, BASE), F.sha2(listed(spans, BASE), 256).alias("base_sha256"), listed(spans).alias("spans"))

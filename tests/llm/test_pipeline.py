@@ -61,12 +61,20 @@ def test_secrets(spark):
     got = {r.doc_id: r for r in rows.withColumn("s", secret_scan.listed(rows.secret_spans, secret_scan.BASE)).withColumn("r", secret_scan.redact(rows.text, rows.secret_spans)).collect()}
     for i, t in enumerate(texts):
         assert got[i].s == spans(t), t
-    assert ledger.count() == len({t or "" for t in texts})
+    size = lambda: secret_scan.read_ledger(spark, ledger).count()
+    first = len({t or "" for t in texts})
+    assert size() == first
     assert "abc123xyz9" not in got[2].r and got[0].r is None and got[1].r == "" and got[3].r == "[SECRET]" and got[10].r == "[SECRET] [SECRET]"
     more = docs(spark, [texts[2], "new token=abcdefgh"])
-    after = secret_scan.update_ledger(more, ledger)
-    assert after.count() == ledger.count() + 1
-    assert secret_scan.update_ledger(more, ledger, version=2).count() == ledger.count() + 2
+    assert secret_scan.update_ledger(more, ledger) == ledger and size() == first + 1
+    secret_scan.update_ledger(more, ledger)
+    assert size() == first + 1
+    secret_scan.update_ledger(more, ledger, version=2)
+    assert size() == first + 3
+    secret_scan.update_ledger(more.limit(0), ledger)
+    assert size() == first + 3
+    paths = secret_scan.join_findings(more.unionByName(df).withColumnRenamed("lang", "secret_spans"), ledger)
+    assert paths.count() == len(texts) + 2 and {len(r.secret_spans) for r in paths.filter("text LIKE 'new%'").collect()} == {1}
     assert secret_scan.find_secrets(df.limit(0))[0].count() == 0
 
 
