@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plansmith.llm.common import BLANK, ascii_lower, pair_hash, table
 
-#: A shared line's documents are spread over this many groups, so a line that a third of all documents hold isn't one task's work.
+#: A shared line's documents are spread over at least this many groups, and more where the session has more shuffle partitions, so a line that a third of all documents hold isn't one task's work.
 SALTS = 16
 
 
@@ -41,16 +41,17 @@ def dedup_lines(
     Columns of df named n_lines or n_dropped are replaced (choose a suffix to keep them); other columns pass through.
     """
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     keys = F.array_distinct(F.transform(F.filter(F.transform(_lines(text), line_key), lambda k: F.length(k) >= min_chars), _hash))
     pairs = df.select(doc.alias("__doc"), F.explode(keys).alias("__h")).select("__doc", "__h.a", "__h.b")
     shared = (
         pairs.groupBy("a", "b")
         .agg(F.countDistinct("__doc").alias("n"), F.max("__doc").alias("__last"))
         .filter(F.col("n") >= min_docs)
-        .select("a", "b", "__last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select("a", "b", "__last", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
     dropped = (
-        pairs.withColumn("salt", F.pmod(F.xxhash64("__doc"), F.lit(SALTS)).cast("int"))
+        pairs.withColumn("salt", F.pmod(F.xxhash64("__doc"), F.lit(salts)).cast("int"))
         .hint("merge")
         .join(shared, ["a", "b", "salt"])
         .filter(~F.col("__doc").eqNullSafe(F.col("__last")))
