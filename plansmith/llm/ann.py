@@ -169,8 +169,8 @@ def nearest(
     good = F.col("id").isNotNull() & _valid(F.col("v"))
     kept = k + 1
     least = Window.partitionBy("v").orderBy("id")
-    classes = read(df).filter(good).distinct().withColumn("r", F.row_number().over(least)).filter(F.col("r") <= kept)
-    classes = classes.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.size("v").alias("dim"), F.col("ids")[0].alias("class"), "ids", "v")
+    classes = read(df).filter(good).withColumn("r", F.dense_rank().over(least)).filter(F.col("r") <= kept)
+    classes = classes.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.size("v").alias("dim"), F.col("ids")[0].alias("class"), "ids", "v")
     classes = stored(classes, "classes")
     asked = stored(read(queries).filter(good).distinct().select(F.size("v").alias("dim"), F.xxhash64("id", "v").alias("ask"), F.col("id").alias("query_id"), "v"), "queries")
     out_schema = "query_id bigint, vec_id bigint, score double"
