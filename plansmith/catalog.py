@@ -150,24 +150,6 @@ def return_fields_projection(spark, sf_dir):
 # ---- snapshot ----
 
 
-@query(f"WITH {SQL_PARTS} SELECT * FROM snap")
-def snapshot_build(spark, sf_dir):
-    return part_candidates(spark, sf_dir).drop("_pos")
-
-
-@query("""SELECT l_partkey, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS ids FROM
-(SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.08) GROUP BY l_partkey""")
-def snapshot_provenance(spark, sf_dir):
-    items = load(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.08))
-    ids = F.transform(F.array_sort(F.collect_set("l_orderkey")), lambda x: x.cast("string"))
-    return items.groupBy("l_partkey").agg(F.array_join(ids, ",").alias("ids"))
-
-
-@query(f"WITH {SQL_DOCS} SELECT source, bool_or(toxic = 1) AS any_toxic, count(quality) AS labelled FROM docs GROUP BY source")
-def tri_state_any(spark, sf_dir):
-    return labelled_documents(spark, sf_dir).groupBy("source").agg(F.bool_or(F.col("toxic") == 1).alias("any_toxic"), F.count("quality").alias("labelled"))
-
-
 @query(r"SELECT event_id, TRY_CAST(regexp_extract(props, '(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS value_read FROM events")
 def first_number_in_text(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", N.first_number(F.col("props")).alias("value_read"))
@@ -221,12 +203,6 @@ def normalize_limit(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", N.limit(raw).alias("n_limit"), N.limit_is_bad(raw).alias("bad"))
 
 
-@query("SELECT event_id, TRY_CAST(props ->> '$.k' AS BIGINT) AS k, json_valid(props) AS parsed FROM events")
-def draft_parse_variant(spark, sf_dir):
-    draft = F.try_parse_json("props")
-    return load(spark, sf_dir, "events").select("event_id", F.try_variant_get(draft, "$.k", "bigint").alias("k"), draft.isNotNull().alias("parsed"))
-
-
 # ---- requests ----
 
 
@@ -358,36 +334,6 @@ def overlap_at_k(spark, sf_dir):
     return _overlap(spark, sf_dir)
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = _plans(spark, sf_dir)
-    pair = lambda n, c: F.concat_ws("=", F.lit(n), c.cast("string"))
-    shared = [pair("engineered", F.col("engineered")), pair("scaffold_type", F.col("scaffold_type"))]
-    gold, predicted = F.array(pair("oral_class", F.col("oral_class")), *shared), F.array(pair("oral_class", F.col("predicted_oral")), *shared)
-    fixed = F.array(pair("limit", F.col("limit")), F.lit("intent"), F.lit("entity"), F.lit("sort"))
-    share = lambda g, p: F.bround(F.size(F.array_intersect(g, p)) / F.size(F.array_distinct(g)), 4)
-    return plans.select(
-        "plan_id", (F.col("plan_id") % 11 != 0).alias("draft_valid"), (F.col("plan_id") % 13 != 0).alias("json_parsed"), F.lit(True).alias("non_empty_filter"), share(gold, predicted).alias("field_value_exact_match"),
-        share(F.concat(gold, fixed), F.concat(predicted, fixed)).alias("slot_accuracy"), (F.col("plan_id") % 11 != 0).alias("execution_success"),
-    )
-
-
-_SQL_SCORES = f"""{_SQL_PLANS}, scores AS (SELECT plan_id, plan_id % 11 <> 0 AS draft_valid, plan_id % 13 <> 0 AS json_parsed, true AS non_empty_filter,
-CASE WHEN oral_class = predicted_oral THEN 1.0 ELSE round_even(CAST(2 AS DOUBLE) / 3, 4) END AS field_value_exact_match,
-CASE WHEN oral_class = predicted_oral THEN 1.0 ELSE round_even(CAST(6 AS DOUBLE) / 7, 4) END AS slot_accuracy, plan_id % 11 <> 0 AS execution_success, result_overlap_at_k FROM plans JOIN overlap USING (plan_id))"""
-
-
-@query(f"WITH {_SQL_SCORES} SELECT plan_id, CAST(field_value_exact_match AS DOUBLE) AS field_value_exact_match, CAST(slot_accuracy AS DOUBLE) AS slot_accuracy FROM scores")
-def slot_accuracy(spark, sf_dir):
-    return _scores(spark, sf_dir).select("plan_id", "field_value_exact_match", "slot_accuracy")
-
-
-@query(f"""WITH {_SQL_SCORES} SELECT round_even(count(*) FILTER (WHERE draft_valid) / count(*), 4) AS plan_valid_rate, round_even(count(*) FILTER (WHERE json_parsed) / count(*), 4) AS json_parse_rate,
-CAST(1.0 AS DOUBLE) AS non_empty_filter_rate, round_even(avg(CAST(field_value_exact_match AS DOUBLE)), 4) AS field_value_exact_match, round_even(avg(CAST(slot_accuracy AS DOUBLE)), 4) AS slot_accuracy,
-round_even(count(*) FILTER (WHERE execution_success) / count(*), 4) AS execution_success_rate, round_even(avg(result_overlap_at_k), 4) AS result_overlap_at_k FROM scores""")
-def score_summary(spark, sf_dir):
-    return evaluate.summarize(_scores(spark, sf_dir).join(_overlap(spark, sf_dir).select("plan_id", "result_overlap_at_k"), "plan_id"))
-
-
 @query(f"""WITH {SQL_DOCS} SELECT lang || '/' || source AS family, count(*) AS rows, round_even(avg(coalesce(quality, 0)), 4) AS mean_overlap, round_even(avg(coalesce(toxic, 0)), 4) AS mean_field,
 round_even(avg(n_chars), 4) AS mean_slot, count(*) FILTER (WHERE quality = 1) AS repair_attempted, count(*) FILTER (WHERE toxic = 1) AS used_repair, count(*) FILTER (WHERE n_chars > 1000) AS non_empty_filter FROM docs GROUP BY ALL""")
 def family_summary(spark, sf_dir):
@@ -451,12 +397,6 @@ def split_first6_rest(spark, sf_dir):
     return head.withColumn("part", F.lit("head")).unionByName(rest.withColumn("part", F.lit("rest"))).select("s_suppkey", "s_nationkey", "part")
 
 
-@query("""SELECT s_suppkey, template, replace(template, '{x}', s_name) AS prompt FROM supplier, (VALUES ('Find {x}'), ('Only {x}, please'), ('{x} first')) t(template)""")
-def template_explode(spark, sf_dir):
-    templates = spark.createDataFrame([("Find {x}",), ("Only {x}, please",), ("{x} first",)], "template string")
-    return load(spark, sf_dir, "supplier").crossJoin(F.broadcast(templates)).select("s_suppkey", "template", F.replace("template", F.lit("{x}"), "s_name").alias("prompt"))
-
-
 @query("""SELECT s_suppkey, o AS "offset", ['a', 'b', 'c', 'd', 'e'][CAST((s_suppkey * 2 + o) % 5 + 1 AS INT)] AS template FROM supplier, (VALUES (0), (1)) t(o)""")
 def round_robin_template(spark, sf_dir):
     rows = load(spark, sf_dir, "supplier").withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(1))))
@@ -475,19 +415,6 @@ def corrupt_sketch_mode(spark, sf_dir):
     return bad.select("candidate_id", "b.oral_class", "b.engineered", "b.sort_by", F.col("b.limit").alias("n_limit"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, arg_max(text, turn) AS last_text, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id""")
-def last_message(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max_by("text", "turn").alias("last_text"), F.max_by("role", "turn").alias("last_role"))
-
-
-@query("""WITH n AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id)
-SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS context FROM conversations JOIN n USING (conv_id) WHERE turn < last GROUP BY conv_id""")
-def context_messages(spark, sf_dir):
-    said = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("m"))))
-    out = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("s")).filter(F.size("s") > 1)
-    return out.select("conv_id", F.array_join(F.transform(F.slice("s", F.lit(1), F.size("s") - 1), lambda x: x["m"]), "\n").alias("context"))
-
-
 @query("""WITH k AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY md5(text) ORDER BY n_chars DESC, doc_id) AS r, n_chars FROM documents),
 c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS q FROM k WHERE r = 1) SELECT doc_id, lang, source FROM c WHERE q <= 3""")
 def dedupe_priority_cap(spark, sf_dir):
@@ -495,14 +422,6 @@ def dedupe_priority_cap(spark, sf_dir):
     return datasets.dedupe_capped(docs, ["h"], [F.desc("n_chars"), F.col("doc_id")], ["lang", "source"], 3).select("doc_id", "lang", "source")
 
 
-@query(f"""WITH {SQL_PARTS} SELECT 'engineered' AS family, candidate_id FROM snap WHERE engineered UNION ALL SELECT 'tested', candidate_id FROM snap WHERE has_experimental_affinity
-UNION ALL SELECT 'all', candidate_id FROM snap""")
-def family_union(spark, sf_dir):
-    rows = part_candidates(spark, sf_dir)
-    named = lambda n, d: d.select(F.lit(n).alias("family"), "candidate_id")
-    return named("engineered", rows.filter("engineered")).unionByName(named("tested", rows.filter("has_experimental_affinity"))).unionByName(named("all", rows))
-
-
 @query(f"""WITH {SQL_PARTS}, f AS (SELECT 'engineered' AS family FROM snap WHERE engineered UNION ALL SELECT 'all' FROM snap) SELECT family, count(*) AS rows FROM f GROUP BY family""")
 def dataset_manifest(spark, sf_dir):
     rows = part_candidates(spark, sf_dir)
@@ -539,3 +458,6 @@ def mc_wrong_answer(spark, sf_dir):
 def extract_answer(spark, sf_dir):
     text = F.element_at(F.array(F.lit("答案：C，not A"), F.lit("I think (b) fits"), F.lit("none of them")), (F.col("item_id") % 3 + 1).cast("int"))
     return load(spark, sf_dir, "benchmark").select("item_id", evaluate.choice_letter(text).alias("choice"))
+
+
+import plansmith.catalog_tables  # noqa: E402, F401  registers the queries over whole tables

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansmith.functions.normalize import let
+from plansmith.functions.normalize import let, mean, rate
 
 # Keys of an answer in order, and the type of its record.
 KEYS = ["RecordType", "Antibody", "TargetLineage", "BindingOutcome", "EpitopeDomain", "PDBID", "ResolutionA", "SourceIdentifier"]
@@ -49,7 +49,7 @@ def lines(text: Column) -> Column:
     cut = F.split(F.regexp_replace(text, rf"({names}):", f"{_MARK}$1:"), _MARK)
     cut = F.when(F.contains(text, F.lit(_MARK)) | ~text.rlike(rf"({names}):"), F.array(text)).otherwise(F.slice(cut, F.lit(2), F.size(cut)))
     found = F.when(F.contains(text, F.lit("\n")), F.split(text, r"\r\n|[\n\r]")).otherwise(cut)
-    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def judged(text: Column) -> Column:
@@ -61,3 +61,12 @@ def judged(text: Column) -> Column:
     exact, kind = F.size(said) == len(KEYS), F.coalesce(last(KEYS[0]) == RECORD, F.lit(False))
     extra = F.exists(said, lambda x: ~F.contains(x, F.lit(":"))).cast("int")
     return F.struct(hits.alias("key_hits"), exact.alias("exact_8_lines"), kind.alias("recordtype_ok"), extra.alias("extra_text"), (exact & (hits == len(KEYS)) & kind & (extra == 0)).alias("compliant"))
+
+
+def compliance_totals(answers: DataFrame, text: str) -> DataFrame:
+    """(rows, mean_key_hits, exact_8_lines_rate, recordtype_ok_rate, extra_text_rows, compliant_rows, compliance_rate) of a table of answers."""
+    j = answers.select(judged(F.col(text)).alias("j")).select("j.*")
+    return j.agg(
+        F.count(F.lit(1)).alias("rows"), mean(F.col("key_hits")).alias("mean_key_hits"), rate(F.col("exact_8_lines")).alias("exact_8_lines_rate"), rate(F.col("recordtype_ok")).alias("recordtype_ok_rate"),
+        F.coalesce(F.sum("extra_text"), F.lit(0)).cast("long").alias("extra_text_rows"), F.count_if("compliant").alias("compliant_rows"), rate(F.col("compliant")).alias("compliance_rate"),
+    )

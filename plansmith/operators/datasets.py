@@ -274,3 +274,14 @@ def head_and_rest(df: DataFrame, order: list[Column], key: str, n: int = 6) -> t
 
 def manifest(df: DataFrame, family: str = "family") -> DataFrame:
     return df.groupBy(family).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def conversation_parts(turns: DataFrame, key: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
+    """(key, turns, context, last_role, last_text) of each conversation: its last message, and those before it as an array of (role, content).
+
+    Turns with equal order stand by role and text. Conversations of one message have an empty context.
+    """
+    said = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(role).alias("role"), F.col(text).alias("content"))))
+    last = F.element_at("s", -1)
+    before = F.transform(F.slice("s", F.lit(1), F.size("s") - 1), lambda x: F.struct(x["role"], x["content"]))
+    return turns.groupBy(key).agg(said.alias("s")).select(key, F.size("s").cast("long").alias("turns"), before.alias("context"), last["role"].alias("last_role"), last["content"].alias("last_text"))

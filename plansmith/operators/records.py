@@ -133,7 +133,7 @@ def interaction_seeds(df: DataFrame) -> DataFrame:
 
 def record_seeds(df: DataFrame, key: str = "_pos", more: int = 25) -> DataFrame:
     """(conversations): a compact note of every record, and a comparison-style summary of the rows whose ordinal key is below more."""
-    r = {n: F.coalesce(F.trim(F.col(s).cast("string")), F.lit("")) for n, (s, _) in FIELDS.items()}
+    r = {n: F.coalesce(F.trim(F.col(s).cast("string")), F.lit("")) if s in df.columns else F.lit("") for n, (s, _) in FIELDS.items()}
     note = _lines({"Antibody": r["antibody"], "Target lineage": r["lineage"], "Epitope domain": r["domain"], "PDB ID": r["pdb_id"], "Resolution": r["resolution"], "Source identifier": r["source_id"], "Host": r["host"], "Summary": r["summary"]})
     first = exchange(F.concat(F.lit("Summarize the following structured antibody-antigen record into a compact evidence note.\n\n"), note, F.lit("\nEpitope residues: "), r["residues"]), note)
     brief = _lines({"Antibody": r["antibody"], "Lineage": r["lineage"], "Domain": r["domain"], "PDB": r["pdb_id"], "Resolution": r["resolution"], "Source": r["source_id"]})

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plansmith.session import with_position
@@ -59,7 +58,8 @@ def write_jsonl(df: DataFrame, path: str, order: list | None = None) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV with a header; quotes in cells are doubled, as read_csv expects."""
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def write_with_manifest(df: DataFrame, path: str, counts: DataFrame) -> None:
@@ -68,17 +68,27 @@ def write_with_manifest(df: DataFrame, path: str, counts: DataFrame) -> None:
     counts.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
-def summary_json(summary: DataFrame, rows: DataFrame, sample: int = 20) -> str:
-    """{"summary": ..., "rows": [...]} of a one-row frame and the first rows of another."""
-    return json.dumps({"summary": summary.first().asDict(True), "rows": [r.asDict(True) for r in rows.limit(sample).collect()]}, ensure_ascii=False, default=str)
-
-
-def markdown(summary: dict[str, object], rows: DataFrame, columns: list[str], width: int = 80) -> str:
-    """Bullets and a table, row by row from the executors; bars become slashes and cells are cut to width."""
-    cell = lambda v: str("" if v is None else v).replace("|", "/").replace("\n", " ")[:width]
-    out = [f"- {k}: {v}" for k, v in summary.items()] + ["", f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}"]
-    out += [f"| {' | '.join(cell(r[c]) for c in columns)} |" for r in rows.select(*columns).toLocalIterator()]
-    return "\n".join(out) + "\n"
+def write_summary_json(summary: DataFrame, rows: DataFrame, path: str, order: list) -> None:
+    """{"summary": ..., "rows": [...]} of a one-row frame and all rows of another, in order, as one file in a folder: one line for the summary, one for each row. The driver sees no row."""
+    text = lambda df: F.to_json(F.struct(*(F.col(c) for c in df.columns)), {"ignoreNullFields": "false"})
+    at = lambda part, n: F.struct(F.lit(part).alias("part"), n.cast("long").alias("n")).alias("at")
+    head = summary.select(F.concat(F.lit('{"summary": '), text(summary), F.lit(', "rows": [')).alias("value"), at(0, F.lit(0)))
+    place = F.row_number().over(Window.orderBy(*order))
+    each = rows.select(text(rows).alias("value"), place.alias("k"))
+    each = each.select(F.concat(F.when(F.col("k") > 1, ",").otherwise(""), "value").alias("value"), at(1, F.col("k")))
+    end = summary.select(F.lit("]}").alias("value"), at(2, F.lit(0)))
+    head.unionByName(each).unionByName(end).orderBy("at").coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
+def write_markdown(summary: dict[str, object], rows: DataFrame, columns: list[str], path: str, order: list) -> None:
+    """Bullets and a table of all rows, in order, as one file in a folder. Bars become slashes and line ends blanks; cells are whole. The driver sees no row."""
+    spark = rows.sparkSession
+    cell = lambda c: F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "|\n\r", "/  ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    top = [*(f"- {k}: {v}" for k, v in summary.items()), "", f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}"]
+    head = spark.createDataFrame([(i - len(top), x) for i, x in enumerate(top)], "n bigint, value string")
+    body = rows.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("n"), line.alias("value"))
+    head.unionByName(body).orderBy("n").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
 def choice_docs(rows: DataFrame) -> DataFrame:

@@ -131,8 +131,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "logs" / "a.log").write_text("start\nEpoch:[1/3](20/100), loss: 2.5, lr: 0.0001, epoch_Time: 3\nEpoch:[2/3](40/100), actor_loss: 0.7, reward: 1.5\n")
     logs = files.read_training_logs(spark, str(tmp_path / "logs")).orderBy("epoch").collect()
     assert [(r.epoch, r.step, r.loss, r.lr, r.reward) for r in logs] == [(1, 20, 2.5, 0.0001, None), (2, 40, 0.7, None, 1.5)]
-    text = files.markdown({"rows": 2}, rows.orderBy("_pos"), ["id", "n"])
-    assert text.splitlines()[0] == "- rows: 2" and "| y |  |" in text
+    files.write_markdown({"rows": 2}, rows, ["id", "n"], str(tmp_path / "md"), ["_pos"])
+    text = [x for p in (tmp_path / "md").glob("part-*") for x in p.read_text().splitlines()]
+    assert text[0] == "- rows: 2" and "| y |  |" in text
     assert files.first_existing([str(tmp_path / "no"), str(tmp_path)]) == str(tmp_path)
     with pytest.raises(FileNotFoundError):
         files.first_existing([str(tmp_path / "no")])
