@@ -7,6 +7,8 @@ Everything is built-in functions over arrays in the row: no shuffle, no Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,43 @@ SENTENCES = {
     "ccbync4-line": ["licensed under cc by-nc 4.0", "this work is licensed under cc by-nc 4.0"],
     "ccby4-line": ["licensed under cc by 4.0", "this work is licensed under cc by 4.0"],
     "ccbysa4-line": ["licensed under cc by-sa 4.0", "this work is licensed under cc by-sa 4.0"],
-    "public-domain": ["this work is dedicated to the public domain", "this is free and unencumbered software released into the public domain"],
+    "public-domain": ["this work is dedicated to the public domain"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "cc0-deed": [
+        "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law"
+    ],
+    "cc0-line": ["licensed under cc0 1.0", "this work is licensed under cc0 1.0 universal", "this work is licensed under the creative commons cc0 1.0 universal license"],
+    "bsd-names": [
+        f"neither the name of {who} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+        for who in ("the copyright holder", "the copyright holders", "the author", "the organization", "the university")
+    ],
+    "isc-grant": [
+        f"permission to use copy modify and {both} this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        for both in ("or distribute", "distribute")
+    ],
+    "isc-asis": [
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "the software is provided as is and isc disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ],
+    "lib-free": ["this library is free software"],
+    "lgpl-grant": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "v2.1-later": ["either version 2.1 of the license or at your option any later version"],
+    "lgpl2.1-later": [
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"
+    ],
+    "lgpl3-later": [
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "agpl3-later": [
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "gpl-grant": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "v2-later": ["either version 2 of the license or at your option any later version"],
+    "lib-asis": ["this library is distributed in the hope that it will be useful but without any warranty"],
+    "epl2-notice": [
+        f"this program and the accompanying materials are made available under the terms of the eclipse public license {v}{where}"
+        for v in ("v2.0", "2.0") for where in ("", " which accompanies this distribution", " which is available at https www.eclipse.org legal epl-2.0", " which accompanies this distribution and is available at https www.eclipse.org legal epl-2.0")
+    ],
 }
 #: Tried in this order; what a rule matched isn't matched again.
 RULES = [
@@ -75,7 +113,16 @@ RULES = [
     ("Apache-2.0", ["apache-line", "apache-comply", "apache-obtain", "apache-url"]),
     ("Apache-2.0", ["apache-line", "apache-comply", "apache-obtain"]),
     ("Apache-2.0", ["apache-line", "apache-comply"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-asis"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-asis"]),
+    ("ISC", ["isc-grant", "isc-asis"]),
+    ("ISC", ["isc-grant"]),
+    *(("LGPL-2.1-or-later", ["lib-free", *grant, *asis]) for asis in (["lib-asis", "gpl-implied"], ["lib-asis"], []) for grant in (["lgpl-grant", "v2.1-later"], ["lgpl2.1-later"])),
+    *(("LGPL-3.0-or-later", ["lib-free", "lgpl3-later", *asis]) for asis in (["lib-asis", "gpl-implied"], ["lib-asis"], [])),
+    *(("LGPL-3.0-or-later", ["gpl-free", "lgpl3-later", *asis]) for asis in (["gpl-asis", "gpl-implied"], ["gpl-asis"], [])),
+    *(("AGPL-3.0-or-later", ["gpl-free", "agpl3-later", *asis]) for asis in (["gpl-asis", "gpl-implied"], ["gpl-asis"], [])),
+    *(("GPL-2.0-or-later", ["gpl-free", "gpl-grant", "v2-later", *asis]) for asis in (["gpl-asis", "gpl-implied"], ["gpl-asis"], [])),
     *((f"GPL-{v}.0-or-later", [*free, f"gpl{v}-later", *asis]) for asis in (["gpl-asis", "gpl-implied"], ["gpl-asis"], []) for free in (["gpl-free"], []) for v in (3, 2)),
     ("MIT", ["mit-line"]),
     ("Apache-2.0", ["apache-line"]),
@@ -85,6 +132,10 @@ RULES = [
     ("CC-BY-NC-4.0", ["ccbync4-line"]),
     ("CC-BY-SA-4.0", ["ccbysa4-line"]),
     ("CC-BY-4.0", ["ccby4-line"]),
+    ("EPL-2.0", ["epl2-notice"]),
+    ("CC0-1.0", ["cc0-deed"]),
+    ("CC0-1.0", ["cc0-line"]),
+    ("Unlicense", ["unlicense"]),
     ("Public-Domain", ["public-domain"]),
 ]
 #: Every known sentence holds one of these, so a text without any has none.
@@ -94,9 +145,23 @@ GATE = "(?i)(" + "|".join(g.replace(" ", r"\s+") for g in GATES) + ")"
 _ITEM = r"(?:[*#/]*\s*\(?\d{1,2}[.)]\s+)?"
 BREAK = rf"[.;:!?]+(?:\s+{_ITEM}|$)|\n\s*\n\s*{_ITEM}"
 
+
+
+def pieces(text: str) -> list[str]:
+    """What the cuts leave of a text, in normal form: sentence_ids() without Spark."""
+    plain = lambda s: re.sub("[^a-z0-9.+-]+", " ", re.sub("[A-Z]", lambda c: c[0].lower(), s)).strip(" .-")
+    return [x for x in map(plain, re.split(BREAK, text)) if x]
+
+
 _ID = {s: name for name, group in SENTENCES.items() for s in group}
-assert all(any(g in s for g in GATES) for s in _ID), "a known sentence passes no gate"
-_SEQUENCES = [(name, "".join(f"<{i}>" for i in ids)) for name, ids in RULES]
+for _s in _ID:
+    if pieces(_s) != [_s] or not any(g in _s for g in GATES):
+        raise ValueError(f"this known sentence doesn't come through the cuts whole: {_s}")
+for _name, _ids in RULES:
+    if not SENTENCES.keys() >= set(_ids):
+        raise ValueError(f"a rule for {_name} names sentences that aren't known")
+#: Between a rule's sentences other text may stand, such as copyright lines.
+_SEQUENCES = [(name, "(?:<[?]>)?".join(f"<{re.escape(i)}>" for i in ids)) for name, ids in RULES]
 
 
 def normal(sentence: Column) -> Column:
@@ -129,9 +194,9 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     start = F.struct(F.col("sentence_ids").alias("left"), F.array().cast("array<string>").alias("names"))
 
     def apply(acc: Column, rule: Column) -> Column:
-        hit = F.contains(acc["left"], rule["ids"])
+        hit = F.regexp_like(acc["left"], rule["ids"])
         return F.struct(
-            F.replace(acc["left"], rule["ids"], F.lit("<!>")).alias("left"), F.when(hit, F.array_append(acc["names"], rule["name"])).otherwise(acc["names"]).alias("names")
+            F.when(hit, F.regexp_replace(acc["left"], rule["ids"], F.lit("<!>"))).otherwise(acc["left"]).alias("left"), F.when(hit, F.array_append(acc["names"], rule["name"])).otherwise(acc["names"]).alias("names")
         )
 
     ids = F.when(text.rlike(GATE), sentence_ids(text)).otherwise(F.lit(""))
@@ -160,7 +225,7 @@ def _sql_id(x: str) -> str:
 def _sql_rules() -> str:
     steps, seq = [], "seq0"
     for i, (name, ids) in enumerate(_SEQUENCES):
-        steps.append(f"r{i} AS (SELECT *, contains(s{i}, '{ids}') AS h{i}, replace(s{i}, '{ids}', '<!>') AS s{i + 1} FROM {'start' if not i else f'r{i - 1}'})")
+        steps.append(f"r{i} AS (SELECT *, regexp_matches(s{i}, '{ids}') AS h{i}, regexp_replace(s{i}, '{ids}', '<!>', 'g') AS s{i + 1} FROM {'start' if not i else f'r{i - 1}'})")
     return ",\n".join(steps)
 
 

@@ -48,6 +48,51 @@ DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
 FOR ANY DIRECT DAMAGES.
 """,
 }
+_BSD = NOTICES["BSD-2-Clause"].split("THIS SOFTWARE")
+NOTICES["BSD-3-Clause"] = f"""Copyright (c) 2020, A. Author
+All rights reserved.
+
+{_BSD[0]}3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE{_BSD[1]}"""
+NOTICES["ISC"] = """Copyright (c) 2020, A. Author
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+NOTICES["LGPL-2.1-or-later"] = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+NOTICES["LGPL-3.0-or-later"] = NOTICES["GPL-3.0-or-later"].replace("GNU General", "GNU Lesser General")
+NOTICES["AGPL-3.0-or-later"] = NOTICES["GPL-3.0-or-later"].replace("GNU General", "GNU Affero General")
+NOTICES["EPL-2.0"] = """This program and the accompanying materials
+are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+"""
+NOTICES["Unlicense"] = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+NOTICES["CC0-1.0"] = """The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.
+"""
 GPL2 = NOTICES["GPL-3.0-or-later"].replace("software:", "software;").replace("version 3", "version 2")
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -70,7 +115,7 @@ SOFTWARE.
 LINES = {
     "Apache-2.0": "Released under the Apache License, Version 2.0.", "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-only": "Licensed under the GNU General Public License, version 2.", "CC-BY-NC-4.0": "This work is licensed under CC BY-NC 4.0.", "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.", "Public-Domain": "This is free and unencumbered software released into the public domain.", "MIT": "Released under the MIT License.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.", "Public-Domain": "This work is dedicated to the public domain.", "MIT": "Released under the MIT License.",
 }
 
 
@@ -89,3 +134,14 @@ def test_known_sentences_stay_whole():
     import re
 
     assert [s for group in license_scan.SENTENCES.values() for s in group if re.search(license_scan.BREAK, s)] == []
+
+
+def test_gpl2_as_published(spark):
+    """Version 2's own notice has a semicolon before the version, too."""
+    text = GPL2.replace("Foundation, either", "Foundation; either")
+    assert license_scan.scan_licenses(docs(spark, [text])).first().licenses == "GPL-2.0-or-later"
+
+
+def test_known_sentences_come_through_the_cuts():
+    for sentence in license_scan._ID:
+        assert license_scan.pieces(f"Before. {sentence.capitalize()}. After") == ["before", sentence, "after"]
