@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: the characters that the text contracts treat as blank.
 BLANK = " \t\n\x0b\x0c\r"
+#: Groups in which rows meet what many of them share.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,3 +88,27 @@ def ascii_lower(c: Column) -> Column:
 def pair_hash(*cols: Column) -> list[Column]:
     """128 bits as two differently seeded 64-bit hashes."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5BD1E995), *cols)]
+
+
+#: Rows of one key that a task joins without more ado, and hot keys up to which their rows of the other side are broadcast.
+HOT, HOT_KEYS = 10_000, 50_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """Keys of more than HOT rows, or None; of n rows at most n / HOT, counted with a combine before the shuffle."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(key)
+    return stored(hot, "hot") if hot.limit(1).count() else None
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """rows joined with one (a row a key), inner. Rows of hot keys stay where they are and meet their row of one by broadcast, as long as hot keys are HOT_KEYS at most, or else in SALTS groups; the others meet by shuffle."""
+    if hot is None:
+        return rows.join(one, key)
+    hot = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
+    some = one.join(hot, key, "left_semi")
+    if some.count() <= HOT_KEYS:
+        return rows.join(hot, key, "left_anti").join(one, key).unionByName(rows.join(F.broadcast(some), key))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    mine = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    parted = rows.withColumn("__salt", mine).hint("merge").join(one.select("*", salts), [key, "__salt"]).drop("__salt")
+    return parted

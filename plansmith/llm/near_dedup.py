@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansmith.llm.common import stored, table
+from plansmith.llm.common import SALTS, discard, hot_keys, join_hot, stored, table
 from plansmith.llm.components import components
 from plansmith.llm.shingles import mix64, shingle_set
 from plansmith.session import ship
 
-SALTS = 16
+#: Pairs of one node that one copy of its text serves.
+PAIRS = 1000
 #: Members of a bucket that one task compares with those outside the largest component.
 PART = 1024
 #: Up to so many ids (8 bytes each) are broadcast to fetch texts; more meet by shuffle.
@@ -167,7 +168,13 @@ def confirmed(df: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
     texts = stored(rows.join(few, rows["id"].eqNullSafe(few["id"]), "left_semi"), "texts")
     near = wanted.withColumnRenamed("id", "want").join(texts, F.col("want").eqNullSafe(texts["id"])).select("node", "t")
-    full = pairs.join(near.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u").join(near.select(F.col("node").alias("v"), F.col("t").alias("tv")), "v")
+    # The text of a node that many pairs name goes to PAIRS of them at a time.
+    parts = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS).cast("int")).filter("parts > 1").select("v", "parts")
+    parts = stored(parts, "parts")
+    wide = F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts
+    dealt = pairs.join(wide, "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    heads = near.select(F.col("node").alias("v"), F.col("t").alias("tv")).join(wide, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    full = dealt.join(near.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u").join(heads, ["v", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[bytes, np.ndarray | None] = OrderedDict()
@@ -192,7 +199,9 @@ def confirmed(df: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
                         linked.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in linked], pa.binary()), pa.array([v[i] for i in linked], pa.binary())], ["u", "v"])
 
-    return stored(full.select("u", "v", "tu", "tv").mapInArrow(run, "u binary, v binary").distinct(), "links")
+    links = stored(full.select("u", "v", "tu", "tv").mapInArrow(run, "u binary, v binary").distinct(), "links")
+    discard(wanted, texts, parts)
+    return links
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -216,11 +225,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
     grouped = stored(members.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int")).hint("merge").join(shared, ["key", "salt"]).select("key", "node", "head"), "buckets")
     facts = classes.select("node", "n", "sketch", "level", "parity")
-    stars = (
-        grouped.filter("node != head").select("node", "head").distinct()
-        .join(facts, "node").select(F.struct(*facts.columns).alias("x"), F.col("head").alias("node"))
-        .join(facts, "node").select("x", F.struct(*facts.columns).alias("y"))
-    )
+    rays = grouped.filter("node != head").select("node", "head").distinct()
+    hot = hot_keys(rays, "head")
+    rays = rays.join(facts, "node").select(F.struct(*facts.columns).alias("x"), F.col("head"))
+    stars = join_hot(rays, facts.select(F.col("node").alias("head"), F.struct(*facts.columns).alias("y")), "head", hot).select("x", "y")
     tried = stored(stars.filter(_likely(s, "x", "y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), "stars")
     links = confirmed(df, tried, classes, id_col, text_col, s)
     labels = components(links)
@@ -231,7 +239,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         .agg(F.max(F.struct("m", "c"))["c"].alias("major"), F.count("*").alias("many"), F.ceil(F.sum("m") / PART).cast("int").alias("parts"))
         .filter("many > 1").drop("many")
     )
-    open_ = stored(placed.join(mixed, "key").join(facts.join(classes.select("node", "keys"), "node"), "node"), "mixed")
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    open_ = stored(placed.hint("merge").join(mixed, ["key", "salt"]).drop("salt").join(facts.join(classes.select("node", "keys"), "node"), "node"), "mixed")
     minor = open_.filter("c != major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     other = open_.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     x, y = minor.alias("x"), other.alias("y")
@@ -248,7 +258,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     named = classes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    to = stored(named.join(least, "label").select("node", "component_id"), "groups")
+    large = hot_keys(named, "label")
+    to = stored(join_hot(named, least, "label", large).select("node", "component_id"), "groups")
+    discard(*(x for x in (classes, grouped, tried, links, labels, open_, rest, hot, large) if x is not None))
     out = rows.select("id", "n", "node").join(to, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from helpers import docs, read
 
-from plansmith.llm import near_dedup
+from plansmith.llm import common, near_dedup
 from plansmith.llm.components import components
 
 
@@ -70,3 +71,27 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 200), (300, 250), (300, 260)]
     got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 200, 250: 250, 260: 250, 300: 250}
+
+
+@pytest.mark.parametrize("keys", [0, 50_000])
+def test_hubs(spark, monkeypatch, keys):
+    """Hot keys meet by broadcast, or in groups where there are too many of them: the same result."""
+    monkeypatch.setattr(common, "HOT", 4)
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    monkeypatch.setattr(near_dedup, "PAIRS", 3)
+    pairs = [(0, i) for i in range(1, 40)] + [(39, i) for i in range(40, 60)] + [(70, 71), (90, 80), (90, 81)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
+    assert got == {**{i: 0 for i in range(60)}, 70: 70, 71: 70, 80: 80, 81: 80, 90: 80}
+    rng = random.Random(4)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(100)]
+        for i in range(30):
+            text = list(base)
+            text[rng.randrange(100)] = f"x{group}y{i}"
+            rows.append((len(rows), " ".join(text)))
+    # A long passage that all of another kind share: one bucket, many components.
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows += [(len(rows) + i, shared + " " + " ".join(f"o{i}q{j}" for j in range(30))) for i in range(25)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(docs(spark, [t for _, t in rows])).collect()}
+    assert got == brute(rows)
