@@ -91,11 +91,13 @@ def pair_hash(*cols: Column) -> list[Column]:
 
 
 #: Rows of one key that a task joins without more ado, and hot keys up to which their rows of the other side are broadcast.
-HOT, HOT_KEYS = 10_000, 50_000
+HOT, HOT_KEYS = 100_000, 50_000
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """Keys of more than HOT rows, or None; of n rows at most n / HOT, counted with a combine before the shuffle."""
+def hot_keys(rows: DataFrame, key: str, most: int) -> DataFrame | None:
+    """Keys of more than HOT rows, or None; of n rows at most n / HOT, counted with a combine before the shuffle. No key can have more than most rows, so with HOT at most there is nothing to count."""
+    if most <= HOT:
+        return None
     hot = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(key)
     return stored(hot, "hot") if hot.limit(1).count() else None
 

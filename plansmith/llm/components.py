@@ -18,14 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("u", "v")
     both = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    hubs = hot_keys(both, "v")
+    most = both.count()
+    hubs = hot_keys(both, "v", most)
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
     while True:
         near = join_hot(both, labels.withColumnRenamed("node", "v"), "v", hubs).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         spread = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
-        used = spread.select("label").distinct()
-        ends = spread.select(F.col("node").alias("label"), F.col("label").alias("end")).join(used, "label", "left_semi")
-        large = hot_keys(spread, "label")
+        ends = spread.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        large = hot_keys(spread, "label", most)
         jumped = stored(join_hot(spread, ends, "label", large).select("node", "old", F.least("label", "end").alias("label")), "labels")
         changed = jumped.filter(F.col("old") != F.col("label")).limit(1).count()
         discard(labels, spread, *([large] if large else []))

@@ -26,7 +26,7 @@ from plansmith.llm.shingles import mix64, shingle_set
 from plansmith.session import ship
 
 #: Pairs of one node that one copy of its text serves.
-PAIRS = 1000
+PAIRS = 10_000
 #: Members of a bucket that one task compares with those outside the largest component.
 PART = 1024
 #: Up to so many ids (8 bytes each) are broadcast to fetch texts; more meet by shuffle.
@@ -169,12 +169,16 @@ def confirmed(df: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
     texts = stored(rows.join(few, rows["id"].eqNullSafe(few["id"]), "left_semi"), "texts")
     near = wanted.withColumnRenamed("id", "want").join(texts, F.col("want").eqNullSafe(texts["id"])).select("node", "t")
     # The text of a node that many pairs name goes to PAIRS of them at a time.
-    parts = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS).cast("int")).filter("parts > 1").select("v", "parts")
-    parts = stored(parts, "parts")
-    wide = F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts
-    dealt = pairs.join(wide, "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    heads = near.select(F.col("node").alias("v"), F.col("t").alias("tv")).join(wide, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    full = dealt.join(near.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u").join(heads, ["v", "part"])
+    heads = near.select(F.col("node").alias("v"), F.col("t").alias("tv"))
+    if pairs.count() > PAIRS:
+        parts = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS).cast("int")).filter("parts > 1").select("v", "parts")
+        parts = stored(parts, "parts")
+        wide = F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts
+        pairs = pairs.join(wide, "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        heads = heads.join(wide, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    else:
+        parts, pairs, heads = None, pairs.withColumn("part", F.lit(0)), heads.withColumn("part", F.lit(0))
+    full = pairs.join(near.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u").join(heads, ["v", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[bytes, np.ndarray | None] = OrderedDict()
@@ -200,7 +204,7 @@ def confirmed(df: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in linked], pa.binary()), pa.array([v[i] for i in linked], pa.binary())], ["u", "v"])
 
     links = stored(full.select("u", "v", "tu", "tv").mapInArrow(run, "u binary, v binary").distinct(), "links")
-    discard(wanted, texts, parts)
+    discard(wanted, texts, *([parts] if parts else []))
     return links
 
 
@@ -226,7 +230,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     grouped = stored(members.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int")).hint("merge").join(shared, ["key", "salt"]).select("key", "node", "head"), "buckets")
     facts = classes.select("node", "n", "sketch", "level", "parity")
     rays = grouped.filter("node != head").select("node", "head").distinct()
-    hot = hot_keys(rays, "head")
+    hot = hot_keys(rays, "head", grouped.count())
     rays = rays.join(facts, "node").select(F.struct(*facts.columns).alias("x"), F.col("head"))
     stars = join_hot(rays, facts.select(F.col("node").alias("head"), F.struct(*facts.columns).alias("y")), "head", hot).select("x", "y")
     tried = stored(stars.filter(_likely(s, "x", "y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), "stars")
@@ -258,7 +262,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     named = classes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    large = hot_keys(named, "label")
+    large = hot_keys(named, "label", classes.count())
     to = stored(join_hot(named, least, "label", large).select("node", "component_id"), "groups")
     discard(*(x for x in (classes, grouped, tried, links, labels, open_, rest, hot, large) if x is not None))
     out = rows.select("id", "n", "node").join(to, "node", "left")
