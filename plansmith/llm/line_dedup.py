@@ -1,8 +1,8 @@
 """Line dedup: lines that many documents share stay in one of them.
 
 Lines are exploded and normalised, hashed to 128 bits, documents are counted per hash, and the kept lines are
-put together again by position. Only hashes and ids are shuffled for the count; the text moves once, to meet its
-own list of dropped hashes.
+put together again by position. Only hashes and ids are shuffled for the count; the text moves once, to meet the
+positions of its dropped lines, so that work grows with a document's lines however many of them go.
 """
 
 from __future__ import annotations
@@ -42,8 +42,11 @@ def dedup_lines(
     """
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    keys = F.array_distinct(F.transform(F.filter(F.transform(_lines(text), line_key), lambda k: F.length(k) >= min_chars), _hash))
-    pairs = df.select(doc.alias("__doc"), F.explode(keys).alias("__h")).select("__doc", "__h.a", "__h.b")
+    keyed = F.transform(_lines(text), lambda x, i: F.struct(line_key(x).alias("k"), i.alias("at")))
+    marks = F.transform(F.filter(keyed, lambda s: F.length(s["k"]) >= min_chars), lambda s: F.struct(_hash(s["k"]).alias("h"), s["at"].alias("at")))
+    # Rows may have the same id: a position belongs to an id and a text. The text is hashed below explode(), once a row and not once a line.
+    marked = df.select(doc.alias("__doc"), F.xxhash64(text).alias("__text"), marks.alias("__m"))
+    pairs = marked.select("__doc", "__text", F.explode("__m").alias("m")).select("__doc", "__text", "m.h.a", "m.h.b", "m.at")
     shared = (
         pairs.groupBy("a", "b")
         .agg(F.countDistinct("__doc").alias("n"), F.max("__doc").alias("__last"))
@@ -55,23 +58,18 @@ def dedup_lines(
         .hint("merge")
         .join(shared, ["a", "b", "salt"])
         .filter(~F.col("__doc").eqNullSafe(F.col("__last")))
-        .groupBy("__doc")
-        .agg(F.collect_set(F.struct("a", "b")).alias("__dropped"))
+        .groupBy("__doc", "__text")
+        .agg(F.collect_list("at").alias("__gone"))
     )
-    lines, gone = _lines(text), F.col("__dropped")
-
-    def keep(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(gone, _hash(key))
-
-    rows = df.join(dropped, doc.eqNullSafe(F.col("__doc")), "left").withColumn(
-        "__kept", F.when(gone.isNull(), lines).otherwise(F.filter(lines, keep))
-    )
-    n_lines = F.size(lines).cast("long")
+    rows = df.join(dropped, doc.eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__text")), "left").withColumn("__lines", _lines(text))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    kept = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("__lines"), i)))
+    # Lines are referred to more than once here, so they are split once, not for each line.
+    rows = rows.withColumns({"__kept": kept, "__n": F.size("__lines").cast("long")})
     out = rows.withColumns(
-        {f"n_lines{suffix}": n_lines, f"n_dropped{suffix}": n_lines - F.size("__kept"), text_col: F.array_join("__kept", "\n")}
+        {f"n_lines{suffix}": F.col("__n"), f"n_dropped{suffix}": F.col("__n") - F.size("__kept"), text_col: F.array_join("__kept", "\n")}
     )
-    return out.drop("__doc", "__dropped", "__kept")
+    return out.drop("__doc", "__text", "__gone", "__lines", "__kept", "__n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
