@@ -43,10 +43,12 @@ def dedup_lines(
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     keyed = F.transform(_lines(text), lambda x, i: F.struct(line_key(x).alias("k"), i.alias("at")))
-    marks = F.transform(F.filter(keyed, lambda s: F.length(s["k"]) >= min_chars), lambda s: F.struct(_hash(s["k"]).alias("h"), s["at"].alias("at")))
-    # Rows may have the same id: a position belongs to an id and a text. The text is hashed below explode(), once a row and not once a line.
-    marked = df.select(doc.alias("__doc"), F.xxhash64(text).alias("__text"), marks.alias("__m"))
-    pairs = marked.select("__doc", "__text", F.explode("__m").alias("m")).select("__doc", "__text", "m.h.a", "m.h.b", "m.at")
+    long = F.filter(keyed, lambda s: F.length(s["k"]) >= min_chars)
+    # Rows may have the same id: a position belongs to an id and a text. The text is hashed below explode(), once a row and not once a
+    # line; what is exploded is no mere column, or else Spark adds a filter that finds all lines another time.
+    marked = df.select(doc.alias("__doc"), F.xxhash64(text).alias("__text"), long.alias("__m"))
+    marks = F.transform("__m", lambda s: F.struct(_hash(s["k"]).alias("h"), s["at"].alias("at")))
+    pairs = marked.select("__doc", "__text", F.explode(marks).alias("m")).select("__doc", "__text", "m.h.a", "m.h.b", "m.at")
     shared = (
         pairs.groupBy("a", "b")
         .agg(F.countDistinct("__doc").alias("n"), F.max("__doc").alias("__last"))
