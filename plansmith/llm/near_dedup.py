@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from plansmith.llm.common import SALTS, discard, hot_keys, join_hot, stored, table
 from plansmith.llm.components import components
 from plansmith.llm.shingles import mix64, shingle_set
+from plansmith.llm.workers import tidied
 from plansmith.session import ship
 
 #: Pairs of one node that one copy of its text serves.
@@ -129,7 +130,7 @@ def features(df: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in FEATURES.split(", ")])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    return rows.mapInArrow(run, FEATURES)
+    return rows.mapInArrow(tidied(run), FEATURES)
 
 
 def _distance(s: Settings, a: Column, b: Column) -> Column:
@@ -203,7 +204,7 @@ def confirmed(df: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
                         linked.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in linked], pa.binary()), pa.array([v[i] for i in linked], pa.binary())], ["u", "v"])
 
-    links = stored(full.select("u", "v", "tu", "tv").mapInArrow(run, "u binary, v binary").distinct(), "links")
+    links = stored(full.select("u", "v", "tu", "tv").mapInArrow(tidied(run), "u binary, v binary").distinct(), "links")
     discard(wanted, texts, *([parts] if parts else []))
     return links
 

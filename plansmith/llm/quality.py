@@ -28,6 +28,7 @@ from xxhash import xxh3_64_intdigest
 from plansmith.llm.common import fresh_path, remove, settled, stored, table
 from plansmith.llm.shingles import mix64, windows
 from plansmith.llm.token_files import _filesystem
+from plansmith.llm.workers import forgets, tidied, tidied_group
 from plansmith.session import ship
 
 #: Words of a block: its n-grams are sorted and answered together.
@@ -38,6 +39,8 @@ SLICE = 16_000_000
 TOGETHER = 1 << 20
 #: Words that a worker remembers with their hashes.
 CACHED_WORDS = 500_000
+#: N-grams whose probabilities are worked out together.
+AT_ONCE = 1 << 18
 #: Bands of up to so many languages are broadcast; more meet by shuffle.
 FEW_LANGUAGES = 10_000
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -62,6 +65,7 @@ class Rules:
 # ---- words and blocks ----
 
 _HASHES: dict[bytes, int] = {}
+forgets(_HASHES.clear)
 
 
 def _hashed(texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -239,8 +243,10 @@ def asked(df: DataFrame, grid: Grid) -> DataFrame:
             by: dict[str, list] = {}
             for lang, found, _, _ in docs:
                 by.setdefault(lang, []).append(found)
-            for lang, found in by.items():
-                grams, counts = np.unique(np.concatenate(found), return_counts=True)
+            del found
+            docs.clear()
+            for lang in list(by):
+                grams, counts = np.unique(np.concatenate(by.pop(lang)), return_counts=True)
                 if not len(grams):
                     continue
                 name, words = block_name(grams), _vocabulary(grams)
@@ -248,7 +254,7 @@ def asked(df: DataFrame, grid: Grid) -> DataFrame:
                 rows += [("asked", at, lang, name, grid.pack_words(words[i]), None) for at, i in _groups(grid.word_slices(words))]
                 yield from _table(rows).to_batches()
 
-    return df.select("lang", "t").mapInArrow(run, ROWS)
+    return df.select("lang", "t").mapInArrow(tidied(run), ROWS)
 
 
 def _merged(rows: list[dict], unpacked: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -291,7 +297,7 @@ def count_grams(rows: DataFrame, grid: Grid) -> DataFrame:
         return _table(out)
 
     part = F.when(F.col("kind") == "grams", F.col("slot")).otherwise(-1 - F.col("slot"))
-    return rows.groupBy(part).applyInArrow(run, ROWS)
+    return rows.groupBy(part).applyInArrow(tidied_group(run), ROWS)
 
 
 def _sizes(counts: np.ndarray) -> np.ndarray:
@@ -321,7 +327,7 @@ def count_words(rows: DataFrame, grid: Grid) -> DataFrame:
             out.append(("sizes", at, lang, None, None, ints(_sizes(facts[4][facts[4] > 0]))))
         return _table(out)
 
-    return rows.groupBy("slot").applyInArrow(run, ROWS)
+    return rows.groupBy("slot").applyInArrow(tidied_group(run), ROWS)
 
 
 # ---- the model ----
@@ -469,26 +475,37 @@ def scored(df: DataFrame, path: str, grid: Grid, languages: dict[str, Language],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = Answers(path, grid)
         for docs in blocks(batches, grid.block, rules):
-            by: dict[str, list[int]] = {}
-            for i, doc in enumerate(docs):
-                by.setdefault(doc[0], []).append(i)
+            by: dict[str, tuple[list[int], list[np.ndarray]]] = {}
+            for i, (lang, found, _, _) in enumerate(docs):
+                mine, grams = by.setdefault(lang, ([], []))
+                mine.append(i), grams.append(found)
+            rows = [(lang, rest, base) for lang, _, rest, base in docs]
             mean: list[float | None] = [None] * len(docs)
-            for lang, mine in by.items():
-                sizes = np.array([len(docs[i][1]) for i in mine])
-                grams, place = np.unique(np.concatenate([docs[i][1] for i in mine]), return_inverse=True)
+            del found, grams
+            docs.clear()
+            for lang in list(by):
+                mine, found = by.pop(lang)
+                sizes = np.array([len(x) for x in found])
+                found = np.concatenate(found)
+                grams, place = np.unique(found, return_inverse=True)
+                del found
                 if not len(grams):
                     continue
                 counts, words, facts = answers.of(lang, grams)
-                before, own = (np.searchsorted(words, x) for x in (grams >> np.uint64(32), grams & np.uint64(0xFFFFFFFF)))
-                bits = np.cumsum(np.append(0.0, languages[lang].bits(counts, facts[:, before], facts[4][own])[place]))
+                bits = np.empty(len(grams))
+                for at in range(0, len(grams), AT_ONCE):
+                    some = slice(at, at + AT_ONCE)
+                    before, own = (np.searchsorted(words, x) for x in (grams[some] >> np.uint64(32), grams[some] & np.uint64(0xFFFFFFFF)))
+                    bits[some] = languages[lang].bits(counts[some], facts[:, before], facts[4][own])
+                bits = np.cumsum(np.append(0.0, bits[place]))
                 ends = np.cumsum(sizes)
                 for i, n, x in zip(mine, sizes.tolist(), (bits[ends] - bits[ends - sizes]).tolist(), strict=True):
                     mean[i] = x / n if n else None
-            columns = [[d[2][0] for d in docs], [d[0] for d in docs], *zip(*(d[3] for d in docs)), mean]
+            columns = [[rest[0] for _, rest, _ in rows], [lang for lang, _, _ in rows], *zip(*(base for _, _, base in rows)), mean]
             kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCORES.split(", ")])
 
-    return df.select("lang", "t", "id").mapInArrow(run, SCORES)
+    return df.select("lang", "t", "id").mapInArrow(tidied(run), SCORES)
 
 
 def _failed(rules: Rules) -> Column:

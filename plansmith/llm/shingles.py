@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from plansmith.llm.workers import forgets
+
 CACHED_WORDS = 400_000
 _WORDS: dict[bytes, int] = {}
+forgets(_WORDS.clear)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

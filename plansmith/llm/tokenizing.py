@@ -12,6 +12,8 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+from plansmith.llm.workers import forgets
+
 CACHED_CHUNKS = 1_000_000
 CACHED_CHARS = 64
 #: Characters of the texts whose new chunks are encoded together.
@@ -174,6 +176,14 @@ class ChunkEncoder(Chunked):
         return self._library(text)
 
 
+def _forget() -> None:
+    for known in _READY.values():
+        known.cache.clear()
+
+
+forgets(_forget)
+
+
 def encoder(path: str) -> ChunkEncoder:
     if path not in _READY:
         _READY[path] = ChunkEncoder(path)
