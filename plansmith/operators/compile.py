@@ -89,14 +89,16 @@ def execute_batch(rows: DataFrame, plans: DataFrame, id_col: str = "candidate_id
     """(plan_id, rank, id_col) of each plan's rows in plans (plan_id, plan of type PLAN).
 
     Plans with the same fields, operators and order run together: the driver sees one row for each such shape, of which
-    there are as many as the vocabulary allows. Equality and lists of values are join keys, ranges conditions on top of
-    them. Values that don't fit a column's type, and fields that rows lack, match nothing; an unsupported operator is an error.
+    there are as many as the vocabulary allows. Plans of a shape with the same filters are one class: rows meet classes, are
+    ranked there up to the greatest limit, and only what is left meets the plans. Equality and lists of values are join keys,
+    ranges conditions on top of them. Values that don't fit a column's type, and fields that rows lack, match nothing; an
+    unsupported operator is an error.
     """
     shape = F.struct(F.transform("plan.filters", lambda f: F.struct(f["field"], f["op"])).alias("filters"), F.col("plan.sort").alias("sort"))
-    tagged = plans.withColumn("_shape", F.to_json(shape))
+    tagged = plans.withColumns({"_shape": F.to_json(shape), "_class": F.to_json("plan.filters")})
     out = rows.sparkSession.createDataFrame([], f"plan_id {plans.schema['plan_id'].dataType.simpleString()}, rank int, {id_col} {rows.schema[id_col].dataType.simpleString()}")
-    for s in tagged.groupBy("_shape").agg(F.first(shape).alias("s"), F.max("plan.limit").alias("most"), F.count("*").alias("n")).collect():
-        mine = tagged.filter(F.col("_shape") == s["_shape"]).select("plan_id", "plan")
+    for s in tagged.groupBy("_shape").agg(F.first(shape).alias("s"), F.max("plan.limit").alias("most"), F.count_distinct("_class").alias("n")).collect():
+        mine = tagged.filter(F.col("_shape") == s["_shape"]).select("plan_id", "plan", "_class")
         out = out.unionByName(_same_shape(rows, mine, s, id_col, position))
     return out
 
@@ -104,7 +106,8 @@ def execute_batch(rows: DataFrame, plans: DataFrame, id_col: str = "candidate_id
 def _same_shape(rows: DataFrame, plans: DataFrame, s, id_col: str, position: str) -> DataFrame:
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     sorts = tuple(Sort(x["field"], x["direction"]) for x in s["s"]["sort"])
-    wanted, met, keyed, here = plans.select("plan_id", F.col("plan.limit").alias("limit"), "plan"), [], False, rows
+    asked, met, keyed, here = plans.select("plan_id", F.col("plan.limit").alias("limit"), "_class"), [], False, rows
+    wanted = plans.groupBy("_class").agg(F.max("plan.limit").alias("most"), F.first("plan.filters").alias("filters"))
     for i, f in enumerate(s["s"]["filters"]):
         name, op, v = f["field"], f["op"], f"_v{i}"
         if op not in {"eq", "in", "gte", "lte", "exists"}:
@@ -115,7 +118,7 @@ def _same_shape(rows: DataFrame, plans: DataFrame, s, id_col: str, position: str
         if op == "exists":
             here = here.filter(F.col(name).isNotNull())
             continue
-        said = F.col("plan.filters")[i]
+        said = F.col("filters")[i]
         if op == "in":
             many = F.try_variant_get(F.try_parse_json(said["value"]), "$", f"array<{kinds[name].simpleString()}>")
             wanted = wanted.withColumn(v, F.explode(F.array_distinct(F.coalesce(many, F.array(_value(said, kinds[name]))))))
@@ -125,15 +128,17 @@ def _same_shape(rows: DataFrame, plans: DataFrame, s, id_col: str, position: str
         met.append(a == b if op in {"eq", "in"} else a >= b if op == "gte" else a <= b)
         keyed = keyed or op in {"eq", "in"}
     needed = dict.fromkeys(c for c in [*(f["field"] for f in s["s"]["filters"]), *(x.field for x in sorts), id_col, position] if c in kinds)
-    here, wanted = here.select(*needed), wanted.drop("plan")
+    here, wanted = here.select(*needed), wanted.drop("filters")
     if not met:  # the same rows for all of them, up to each one's limit
         top = here.orderBy(*order(here, sorts, position)).limit(s["most"])
         top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order(here, sorts, position)))).select("rank", id_col)
-        return top.alias("r").join(wanted.alias("p"), F.col("r.rank") <= F.col("p.limit")).select("p.plan_id", "rank", id_col)
+        return top.alias("r").join(asked.alias("p"), F.col("r.rank") <= F.col("p.limit")).select("p.plan_id", "rank", id_col)
     few = not keyed and s["n"] <= BROADCAST_PLANS
-    both = here.alias("r").join((F.broadcast(wanted) if few else wanted).alias("p"), reduce(and_, met)).select("p.plan_id", "p.limit", *(F.col(f"r.{c}").alias(c) for c in needed))
-    rank = F.row_number().over(Window.partitionBy("plan_id").orderBy(*order(both, sorts, position)))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= F.col("limit")).select("plan_id", "rank", id_col)
+    both = here.alias("r").join((F.broadcast(wanted) if few else wanted).alias("p"), reduce(and_, met)).select("p._class", "p.most", *(F.col(f"r.{c}").alias(c) for c in needed))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy(*order(both, sorts, position)))
+    # The literal bound lets Spark cut each class before the shuffle.
+    best = both.withColumn("rank", rank).filter((F.col("rank") <= (s["most"] or 0)) & (F.col("rank") <= F.col("most"))).select("_class", "rank", id_col)
+    return best.alias("r").join(asked.alias("p"), (F.col("r._class") == F.col("p._class")) & (F.col("r.rank") <= F.col("p.limit"))).select("p.plan_id", "r.rank", F.col(f"r.{id_col}").alias(id_col))
 
 
 # ---- scores ----
@@ -154,6 +159,21 @@ def slot_texts(plan: Column) -> Column:
     return F.concat(head, F.transform(filter_texts(plan), lambda f: F.concat_ws("\x1f", F.lit("filter"), f)), sorts)
 
 
+def _run_text(plan: Column) -> Column:
+    """What of a plan decides its rows, as text: plans with the same one are run once."""
+    return F.to_json(F.struct(plan["filters"].alias("filters"), plan["sort"].alias("sort"), plan["limit"].alias("limit")))
+
+
+def _overlaps(pairs: DataFrame, plans: DataFrame, rows: DataFrame, id_col: str, position: str) -> DataFrame:
+    """(_g, _p, overlap) of pairs of plans by their run texts; plans (plan_id, plan) has each of them once under its text."""
+    ran = execute_batch(rows, plans, id_col, position).select("plan_id", id_col).distinct()
+    side = lambda c, n: pairs.join(ran.withColumnRenamed("plan_id", c), c).select("_g", "_p", id_col, F.lit(1).alias(n))
+    n = side("_g", "g").join(side("_p", "f"), ["_g", "_p", id_col], "full").groupBy("_g", "_p")
+    n = n.agg(F.count("g").alias("g"), F.count("f").alias("f"), F.count_if(F.col("g").isNotNull() & F.col("f").isNotNull()).alias("both"))
+    out = pairs.join(n, ["_g", "_p"], "left").na.fill(0, ["g", "f", "both"])
+    return out.select("_g", "_p", F.when(F.col("g") > 0, F.bround(F.col("both") / F.col("g"), 4)).otherwise((F.col("f") == 0).cast("double")).alias("overlap"))
+
+
 def score_batch(answers: DataFrame, rows: DataFrame, id_col: str = "candidate_id", position: str = "_pos") -> DataFrame:
     """(plan_id, draft_valid, json_parsed, non_empty_filter, field_value_exact_match, slot_accuracy, execution_success, result_overlap_at_k) of answers (plan_id, plan, gold, parsed), both plans of type PLAN; a null plan was no plan."""
     p, g, ok = F.col("plan"), F.col("gold"), F.col("plan").isNotNull() & F.coalesce(F.col("plan.intent") != "", F.lit(False)) & F.coalesce(F.col("plan.entity") != "", F.lit(False))
@@ -161,10 +181,11 @@ def score_batch(answers: DataFrame, rows: DataFrame, id_col: str = "candidate_id
     flat = answers.select(
         "plan_id", ok.alias("draft_valid"), F.col("parsed").alias("json_parsed"), (ok & (F.size(p["filters"]) > 0)).alias("non_empty_filter"),
         number(_share(filter_texts(g), filter_texts(p))).alias("field_value_exact_match"), number(_share(slot_texts(g), slot_texts(p))).alias("slot_accuracy"), ok.alias("execution_success"),
+        F.when(ok, _run_text(g)).alias("_g"), F.when(ok, _run_text(p)).alias("_p"),
     )
-    wanted = execute_batch(rows, answers.select("plan_id", F.col("gold").alias("plan")), id_col, position).select("plan_id", id_col).distinct().withColumn("g", F.lit(1))
-    found = execute_batch(rows, answers.filter(ok).select("plan_id", "plan"), id_col, position).select("plan_id", id_col).distinct().withColumn("f", F.lit(1))
-    n = wanted.join(found, ["plan_id", id_col], "full").groupBy("plan_id").agg(F.count("g").alias("g"), F.count("f").alias("f"), F.count_if(F.col("g").isNotNull() & F.col("f").isNotNull()).alias("both"))
-    out = flat.join(n, "plan_id", "left").na.fill(0, ["g", "f", "both"])
-    overlap = F.when(F.col("g") > 0, F.bround(F.col("both") / F.col("g"), 4)).otherwise((F.col("f") == 0).cast("double"))
-    return out.withColumn("result_overlap_at_k", F.when(F.col("draft_valid"), overlap).otherwise(F.lit(0.0))).drop("g", "f", "both")
+    both = answers.filter(ok).select(_run_text(g).alias("_g"), _run_text(p).alias("_p"), "gold", "plan")
+    pairs = both.select("_g", "_p").distinct()
+    plans = both.select(F.inline(F.array(F.struct(F.col("_g").alias("plan_id"), F.col("gold").alias("plan")), F.struct(F.col("_p").alias("plan_id"), "plan"))))
+    ran = plans.groupBy("plan_id").agg(F.first("plan").alias("plan"))
+    scores = _overlaps(pairs, ran, rows, id_col, position)
+    return flat.join(scores, ["_g", "_p"], "left").select(*(c for c in flat.columns if c not in {"_g", "_p"}), F.when(F.col("draft_valid"), F.col("overlap")).otherwise(F.lit(0.0)).alias("result_overlap_at_k"))
