@@ -97,8 +97,12 @@ def reason_counts(rows: DataFrame, reasons: str, position: str = "_pos") -> Data
     return each.groupBy("reason").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("p", "i")).alias("first")).orderBy(F.desc("count"), "first").select("reason", "count")
 
 
+def is_failed() -> Column:
+    return ~F.coalesce(F.col("execution_success"), F.lit(False)) | (F.coalesce("result_overlap_at_k", F.lit(0.0)) == 0)
+
+
 def failed(rows: DataFrame) -> DataFrame:
-    return rows.filter(~F.coalesce(F.col("execution_success"), F.lit(False)) | (F.coalesce("result_overlap_at_k", F.lit(0.0)) == 0))
+    return rows.filter(is_failed())
 
 
 def perfect() -> Column:
