@@ -6,25 +6,29 @@ always agree; what comes out are typed columns, and everything after that is joi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import fields
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from plansmith.functions.hints import hints
+from plansmith.functions.hints import Hints, hints
 from plansmith.operators.execute import order
 from plansmith.plans.choose import Candidate, predict
 from plansmith.plans.model import Plan, Sort, compact
-from plansmith.session import ship
+from plansmith.session import ship, spread
 
 PLAN = (
     "struct<intent:string,entity:string,filters:array<struct<field:string,op:string,value:string>>,sort:array<struct<field:string,direction:string>>,"
     "limit:int,return_fields:array<string>>"
 )
 TRACE = "struct<parsed:boolean,form:string,errors:array<string>,notes:array<string>,empty_filters:boolean,projected:boolean,schema_ok:boolean>"
+HINTS = tuple(f.name for f in fields(Hints))
 #: Plans up to which range-only plans meet all rows by broadcast.
 BROADCAST_PLANS = 50_000
 
@@ -40,15 +44,28 @@ def _trace_row(c: Candidate) -> dict:
     return {"parsed": t.parsed, "form": t.form, "errors": t.errors, "notes": t.notes, "empty_filters": t.empty_filters, "projected": t.projected, "schema_ok": t.schema_ok}
 
 
-def _validated(answers: pd.Series) -> pd.DataFrame:
-    read = [Candidate.read(a or "") for a in answers]
-    return pd.DataFrame({"plan": [plan_row(c.plan) for c in read], "trace": [_trace_row(c) for c in read]})
+def _in_batches(kind: str, each: Callable[..., dict]) -> Callable:
+    """An Arrow UDF of type kind that works each(...) out once for all equal arguments of a batch."""
+    made = to_arrow_type(T.StructType.fromDDL(kind))
+
+    def of(*columns: pa.Array) -> pa.Array:
+        seen: dict[tuple, int] = {}
+        at = [seen.setdefault(x, len(seen)) for x in zip(*(c.to_pylist() for c in columns), strict=True)]
+        return pa.array([each(*x) for x in seen], made).take(pa.array(at, pa.int64()))
+
+    return F.arrow_udf(of, kind)
+
+
+def _validated(answer: str | None) -> dict:
+    c = Candidate.read(answer or "")
+    return {"plan": plan_row(c.plan), "trace": _trace_row(c)}
 
 
 def validate_batch(rows: DataFrame, answer: str) -> DataFrame:
-    """rows with plan and trace of each answer; null answers are empty ones."""
+    """rows, dealt out, with plan and trace of each answer; null answers are empty ones."""
     ship(rows.sparkSession)
-    return rows.withColumn("_v", F.pandas_udf(_validated, f"plan {PLAN}, trace {TRACE}")(F.col(answer))).withColumns({"plan": F.col("_v.plan"), "trace": F.col("_v.trace")}).drop("_v")
+    read = _in_batches(f"plan {PLAN}, trace {TRACE}", _validated)
+    return spread(rows).withColumn("_v", read(F.col(answer))).withColumns({"plan": F.col("_v.plan"), "trace": F.col("_v.trace")}).drop("_v")
 
 
 CHOSEN = (
@@ -57,24 +74,18 @@ CHOSEN = (
 )
 
 
-def _chosen(first: pd.Series, repaired: pd.Series, asked: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for a, b, h in zip(first, repaired, asked.astype(object).where(asked.notna(), None).to_dict("records"), strict=True):
-        h = {k: int(v) if k == "limit" and v is not None else v for k, v in h.items()}
-        p = predict(a or "", h, b)
-        out.append(
-            {
-                "plan": plan_row(p.final.plan), "trace": _trace_row(p.final), "first_plan": plan_row(p.first.plan), "first_trace": _trace_row(p.first), "repair_reasons": p.repair_reasons,
-                "projection_reasons": p.projection_reasons, "repair_attempted": p.repair_attempted, "used_repair": p.used_repair, "projection_attempted": p.projection_attempted, "used_projection": p.used_projection,
-            }
-        )
-    return pd.DataFrame(out, columns=[x.split(" ")[0] for x in ("plan", "trace", "first_plan", "first_trace", "repair_reasons", "projection_reasons", "repair_attempted", "used_repair", "projection_attempted", "used_projection")])
+def _chosen(first: str | None, repaired: str | None, *asked) -> dict:
+    p = predict(first or "", dict(zip(HINTS, asked, strict=True)), repaired)
+    return {
+        "plan": plan_row(p.final.plan), "trace": _trace_row(p.final), "first_plan": plan_row(p.first.plan), "first_trace": _trace_row(p.first), "repair_reasons": p.repair_reasons,
+        "projection_reasons": p.projection_reasons, "repair_attempted": p.repair_attempted, "used_repair": p.used_repair, "projection_attempted": p.projection_attempted, "used_projection": p.used_projection,
+    }
 
 
 def finalize_batch(rows: DataFrame, prompt: str, first: str, repaired: str) -> DataFrame:
-    """rows with the plan that counts for each request: the first answer's, the repaired one's (null: none was made) or the one aligned with the request's hints, and how it came to that."""
+    """rows, dealt out, with the plan that counts for each request: the first answer's, the repaired one's (null: none was made) or the one aligned with the request's hints, and how it came to that."""
     ship(rows.sparkSession)
-    done = rows.withColumn("_c", F.pandas_udf(_chosen, CHOSEN)(F.col(first), F.col(repaired), hints(F.col(prompt)).struct()))
+    done = spread(rows).withColumn("_c", _in_batches(CHOSEN, _chosen)(F.col(first), F.col(repaired), *(c for _, c in hints(F.col(prompt)).items())))
     return done.select(*rows.columns, "_c.*")
 
 
