@@ -6,10 +6,11 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plansmith.functions.registry import PROTEIN, Entity
+from plansmith.session import spread
 
 # Phrases that state a limit, the first of the list that matches counts.
 LIMIT_PHRASES = [
@@ -78,6 +79,14 @@ def hints(text: Column, entity: Entity = PROTEIN) -> Hints:
     return Hints(scaffold, F.initcap(_first(text, ORAL_PHRASES)), engineered, tested, limit, F.when(ordered, F.lit("best_affinity_value")), F.when(ordered, F.lit("asc")))
 
 
+def asked(rows: DataFrame, text: Column, entity: Entity = PROTEIN) -> tuple[DataFrame, Hints]:
+    """rows, dealt out, with what their texts say in columns of their own, so that each text is read once however often its hints are named."""
+    found = hints(text, entity)
+    slots = {f"_asked_{n}": c for n, c in found.items() if n != "sort_dir"}
+    held = {n.removeprefix("_asked_"): F.col(n) for n in slots}
+    return spread(rows).withColumns(slots), Hints(**held, sort_dir=F.when(F.col("_asked_sort_by").isNotNull(), F.lit("asc")))
+
+
 def rule_limit(text: Column) -> Column:
     return F.coalesce(F.translate(_first(text, [r"(?:前\s*|limit\s*)(\d+)"]), *DIGITS).try_cast("int"), F.lit(20))
 

@@ -54,13 +54,18 @@ def lines(text: Column) -> Column:
 
 def judged(text: Column) -> Column:
     """struct(key_hits, exact_8_lines, recordtype_ok, extra_text, compliant)."""
-    said = lines(text)
-    pairs = F.transform(F.filter(said, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
-    last = lambda k: F.get(F.reverse(F.filter(pairs, lambda x: x["key"] == k)), F.lit(0))["value"]
-    hits = F.size(F.array_intersect(F.transform(pairs, lambda x: x["key"]), F.array(*map(F.lit, KEYS))))
-    exact, kind = F.size(said) == len(KEYS), F.coalesce(last(KEYS[0]) == RECORD, F.lit(False))
-    extra = F.exists(said, lambda x: ~F.contains(x, F.lit(":"))).cast("int")
-    return F.struct(hits.alias("key_hits"), exact.alias("exact_8_lines"), kind.alias("recordtype_ok"), extra.alias("extra_text"), (exact & (hits == len(KEYS)) & kind & (extra == 0)).alias("compliant"))
+
+    def of(said: Column, pairs: Column) -> Column:
+        last = lambda k: F.get(F.reverse(F.filter(pairs, lambda x: x["key"] == k)), F.lit(0))["value"]
+        hits = F.size(F.array_intersect(F.transform(pairs, lambda x: x["key"]), F.array(*map(F.lit, KEYS))))
+        exact, kind = F.size(said) == len(KEYS), F.coalesce(last(KEYS[0]) == RECORD, F.lit(False))
+        extra = F.exists(said, lambda x: ~F.contains(x, F.lit(":"))).cast("int")
+        found = F.struct(hits.alias("key_hits"), exact.alias("exact_8_lines"), kind.alias("recordtype_ok"), extra.alias("extra_text"))
+        return let(found, lambda j: j.withField("compliant", j["exact_8_lines"] & (j["key_hits"] == len(KEYS)) & j["recordtype_ok"] & (j["extra_text"] == 0)))
+
+    key, value = lambda x: F.trim(F.substring_index(x, ":", 1)), lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
+    pairs = lambda said: F.transform(F.filter(said, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
+    return let(let(text, lines), lambda said: let(pairs(said), lambda found: of(said, found)))
 
 
 def compliance_totals(answers: DataFrame, text: str) -> DataFrame:

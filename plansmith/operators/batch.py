@@ -69,3 +69,15 @@ def overlap(predicted: DataFrame, gold: DataFrame, plans: DataFrame, id_col: str
     out = plans.select("plan_id").join(both, "plan_id", "left").na.fill(0, ["n_gold", "n_found", "n_common"])
     share = F.when(F.col("n_gold") == 0, (F.col("n_found") == 0).cast("double")).otherwise(F.bround(F.col("n_common") / F.col("n_gold"), 4))
     return out.select("plan_id", "n_gold", "n_common", share.alias("result_overlap_at_k"))
+
+
+def overlap_many(rows: DataFrame, plans: DataFrame, said: dict[str, str], shape: Shape, id_col: str, position: str = "_pos") -> DataFrame:
+    """overlap() of every plan of plans as it stands against itself with the values of said's columns: field -> column. Plans alike in all that are run and compared once."""
+    fields = [*shape.equal, *shape.least, *shape.most]
+    asked = list(dict.fromkeys([*fields, *said.values(), "limit"]))
+    tagged = plans.withColumn("_class", F.to_json(F.struct(*asked)))
+    classes = tagged.groupBy(F.col("_class").alias("plan_id")).agg(*(F.first(c).alias(c) for c in asked))
+    gold = run_many(rows, classes.select("plan_id", *fields, "limit"), shape, id_col, position)
+    predicted = run_many(rows, classes.select("plan_id", *(F.col(said.get(f, f)).alias(f) for f in fields), "limit"), shape, id_col, position)
+    each = overlap(predicted, gold, classes, id_col).withColumnRenamed("plan_id", "_class")
+    return tagged.select("plan_id", "_class").join(each, "_class").drop("_class")

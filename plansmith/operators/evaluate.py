@@ -93,7 +93,8 @@ def family_summary(rows: DataFrame, label: Column) -> DataFrame:
 
 def reason_counts(rows: DataFrame, reasons: str, position: str = "_pos") -> DataFrame:
     """(reason, count) by falling count, ties by first appearance."""
-    each = rows.select(F.col(position).alias("p"), F.posexplode(reasons).alias("i", "reason"))
+    # The outer form, since Spark would filter by the reasons of the plain one below any shuffle, where rows may lie in few tasks.
+    each = rows.select(F.col(position).alias("p"), F.posexplode_outer(reasons).alias("i", "reason")).filter(F.col("i").isNotNull())
     return each.groupBy("reason").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("p", "i")).alias("first")).orderBy(F.desc("count"), "first").select("reason", "count")
 
 
