@@ -2,8 +2,10 @@
 
 import uuid
 
+import pytest
 from py4j.protocol import Py4JJavaError
 
+from plansmith import catalog
 from plansmith.operators import compile as batch
 from plansmith.plans.model import Filter, Plan, Sort
 
@@ -34,3 +36,22 @@ def test_equal_plans_run_once(spark):
     assert sorted(r.plan_id for r in got) == list(range(2000))
     assert {(r.plan_id % 2, r.result_overlap_at_k) for r in got} == {(0, 0.75), (1, 1.0)}
     assert max(n for n, _ in moved) < 50_000
+
+
+def test_alike_plans_overlap_once(spark):
+    got, moved = stages(spark, lambda: catalog.QUERIES["overlap_at_k"](spark, "/root/testdata/sf0.01").collect())
+    assert len(got) == 2000
+    assert max(n for n, _ in moved) < 10_000
+
+
+@pytest.mark.parametrize(
+    ("name", "work"),
+    [
+        ("finalize_batch", "ArrowEvalPython"), ("validate_batch", "ArrowEvalPython"), ("reason_frequency", "RLIKE"), ("hints_rendered", "RLIKE"), ("snapshot_build", "aggregate("),
+        ("short_schema_compliance", "array_intersect"), ("candidate_quality_pick", "RLIKE"),
+    ],
+)
+def test_long_work_is_dealt_out_first(spark, sf, name, work):
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above, dealt, below = plan.partition("Repartition")
+    assert dealt and work in above and work not in below
